@@ -64,11 +64,12 @@ def has_text(text: Column) -> Column:
 def remove_accents(text: Column) -> Column:
     """Compatibility-decompose and drop combining marks; case is kept."""
     single_from, single_to, several = _fold_table()
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
+    listed = "\u0002".join(f"{a}\u0001{b}" for a, b in several)
     wide_class = "[" + "".join(a for a, _ in several) + "]"
 
     def fold_wide(value: Column) -> Column:
-        widened = F.aggregate(pairs, value, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+        pairs = F.map_entries(F.str_to_map(F.lit(listed), F.lit("\u0002"), F.lit("\u0001")))
+        widened = F.aggregate(pairs, value, lambda acc, p: F.replace(acc, p["key"], p["value"]))
         return F.when(value.rlike(wide_class), widened).otherwise(value)
 
     folded = F.regexp_replace(F.translate(text, single_from, single_to), "\\p{Mn}", "")

@@ -316,7 +316,7 @@ def duplicate_candidates(
     if focus is not None:
         focused = features.join(focus.select("person_id").dropDuplicates(), "person_id", "left_semi")
 
-    profiles = profile_pairs(features, settings, dictionary, focused)
+    profiles = cut_lineage(profile_pairs(features, settings, dictionary, focused))
     apart = _spread(profiles, features, settings)
     if focus is not None:
         apart = _touching(apart, focus)

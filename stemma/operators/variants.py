@@ -94,13 +94,9 @@ def variant_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str)
 def known_variants(df: DataFrame, column: str) -> DataFrame:
     """Add the sorted known variants of a name; empty when it is in no list.
 
-    The lists hold folded and accented forms while the name is looked up
-    folded, so the first list that holds the folded form answers.
+    Names are looked up folded.
     """
-    table = {}
-    for forms in KNOWN_VARIANTS.values():
-        for form in forms:
-            table.setdefault(form, sorted(set(forms) - {form}))
+    table = {form: sorted(set(forms) - {form}) for forms in KNOWN_VARIANTS.values() for form in forms}
     pairs = [x for key, rest in table.items() for x in (F.lit(key), F.array(*[F.lit(r) for r in rest]))]
     found = F.try_element_at(F.create_map(*pairs), fold(F.col(column)))
     empty = F.array().cast("array<string>")
