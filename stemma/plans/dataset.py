@@ -8,13 +8,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.operators import enrich, resolve
+from stemma.operators import enrich, resolve, statistics
+from stemma.operators.duplicates import duplicate_candidates
+from stemma.operators.findings import all_findings
+from stemma.operators.quality import quality_inputs, quality_scores, quality_summary
+from stemma.operators.tasks import all_tasks
 from stemma.plans import fixtures
+from stemma.session import cut_lineage
 
 
 @dataclass
 class Dataset:
-    """Conformed tables; everything derived stays lazy."""
+    """Conformed tables. What several jobs share is written once and read by all of them."""
 
     persons: DataFrame
     families: DataFrame
@@ -27,7 +32,50 @@ class Dataset:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return enrich.enrich_persons(self.persons, self.families, self.parent_children, self.events)
+        """Persons with derived dates, life events and link flags."""
+        return cut_lineage(enrich.enrich_persons(self.persons, self.families, self.parent_children, self.events))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Duplicate pairs under the default settings."""
+        return cut_lineage(duplicate_candidates(self.enriched, self.families, self.parent_children))
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        """Quality score of every person."""
+        return quality_scores(quality_inputs(self.enriched))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """The findings report."""
+        return all_findings(self.enriched, self.candidates, enrich.referenced_places(self.events))
+
+    @cached_property
+    def tasks(self) -> DataFrame:
+        """Research tasks of all persons and pairs."""
+        return all_tasks(self.enriched, self.candidates)
+
+    def dashboard(self) -> DataFrame:
+        """One row of headline numbers."""
+        count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+        parts = [
+            count(self.enriched, "persons"),
+            count(self.families, "families"),
+            count(enrich.person_events(self.events), "events"),
+            count(enrich.referenced_places(self.events), "places"),
+            statistics.males_females(self.enriched),
+            statistics.age_at_death(self.enriched).select("average_age"),
+            quality_summary(self.quality).select(F.col("average_score").alias("average_quality")),
+            count(self.candidates, "duplicates"),
+            count(self.tasks, "pending_tasks"),
+        ]
+        if self.sources is not None:
+            parts.append(count(self.sources, "sources"))
+        if self.media is not None:
+            parts.append(count(self.media, "media"))
+        if "created_at" in self.persons.columns:
+            parts.append(self.persons.agg(F.max("created_at").alias("last_import")))
+        return statistics.one_row(*parts)
 
 
 def from_fixtures(spark: SparkSession, sf_dir: str) -> Dataset:

@@ -62,20 +62,21 @@ def read_records(spark: SparkSession, paths: str | list[str], record_separator:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("rec"),
     )
-    return _put_back(raw)
+    looks_like_head = (F.col("block") == 0) & F.col("value").rlike("^\ufeff*\\s*\\d")
+    blank = strip(F.btrim("value", F.lit("\ufeff"))) == ""
+    return _put_back(raw.where(~(blank & (F.col("block") == 0))), looks_like_head)
 
 
 def records_from_text(df: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     """The same rows from whole texts held in a table, one text per row."""
     parts = df.select(F.col(path).alias("path"), F.posexplode(F.split(text, RECORD_SEPARATOR)).alias("rec", "value"))
-    return _put_back(parts.select("value", "path", F.lit(0).cast("bigint").alias("block"), F.col("rec").cast("bigint").alias("rec")))
+    rows = parts.select("value", "path", F.lit(0).cast("bigint").alias("block"), F.col("rec").cast("bigint").alias("rec"))
+    return _put_back(rows, F.col("rec") == 0)
 
 
-def _put_back(raw: DataFrame) -> DataFrame:
-    head = (F.col("block") == 0) & F.col("value").rlike("^﻿*\\s*\\d")
-    blank = strip(F.btrim("value", F.lit("﻿"))) == ""
+def _put_back(raw: DataFrame, head: Column) -> DataFrame:
     text = F.when(head, F.col("value")).otherwise(F.concat(F.lit("0 "), F.col("value")))
-    return raw.where(~(blank & (F.col("block") == 0))).select("path", "block", "rec", text.alias("text"))
+    return raw.select("path", "block", "rec", head.alias("head"), text.alias("text"))
 
 
 def _read_line(raw: Column, position: Column) -> Column:
@@ -119,11 +120,11 @@ def parse_records(records: DataFrame) -> DataFrame:
     Walking the lines once, the last line of each of the ten levels is kept;
     the parent is the latest of those below the own level.
     """
-    split = records.select("path", "block", "rec", F.split("text", _LINE_BREAKS).alias("raws"))
+    split = records.select("path", "block", "rec", "head", F.split("text", _LINE_BREAKS).alias("raws"))
     read = F.filter(F.transform("raws", _read_line), lambda x: strip(x["raw"]) != "")
-    both = split.select("path", "block", "rec", F.size("raws").alias("n_lines"), read.alias("read"))
+    both = split.select("path", "block", "rec", "head", F.size("raws").alias("n_lines"), read.alias("read"))
     kept = both.select(
-        "path", "block", "rec", "n_lines",
+        "path", "block", "rec", "head", "n_lines",
         F.filter("read", lambda x: x["reason"].isNull()).alias("good"),
         F.filter("read", lambda x: x["reason"].isNotNull()).alias("rejected"),
     )
@@ -143,7 +144,7 @@ def parse_records(records: DataFrame) -> DataFrame:
             x["tag"].alias("tag"), x["value"].alias("value"), F.col("parents")[i].alias("parent"),
         ),
     )
-    return walked.select("path", "block", "rec", "n_lines", lines.alias("lines"), "rejected")
+    return walked.select("path", "block", "rec", "head", "n_lines", lines.alias("lines"), "rejected")
 
 
 def _line_offsets(parsed: DataFrame) -> DataFrame:
@@ -175,16 +176,22 @@ def line_table(parsed: DataFrame) -> DataFrame:
 
 
 def rejected_lines(parsed: DataFrame) -> DataFrame:
-    """``(path, line_no, reason, raw, message)`` of malformed lines."""
+    """``(path, line_no, reason, raw, message)`` of malformed lines.
+
+    A file none of whose records looks like its head starts with a line
+    without a level.
+    """
     bad = parsed.where(F.size("rejected") > 0).select("path", "block", "rec", F.explode("rejected").alias("x"))
     number = F.col("offset") + F.col("x.line") + 1
-    return bad.join(_line_offsets(parsed), ["path", "block", "rec"]).select(
-        "path",
-        number.alias("line_no"),
-        "x.reason",
-        "x.raw",
-        F.concat(F.lit("Línia "), number, F.lit(": "), F.col("x.reason"), F.lit(": '"), F.col("x.raw"), F.lit("'")).alias("message"),
+    found = bad.join(_line_offsets(parsed), ["path", "block", "rec"]).select(
+        "path", number.alias("line_no"), "x.reason", "x.raw"
+    )
+    headless = parsed.groupBy("path").agg(F.bool_or("head").alias("head")).where("not head")
+    first = headless.select(
+        "path", F.lit(1).cast("bigint").alias("line_no"), F.lit(BAD_LEVEL).alias("reason"), F.lit("").alias("raw")
     )
+    message = F.concat(F.lit("Línia "), "line_no", F.lit(": "), "reason", F.lit(": '"), "raw", F.lit("'"))
+    return found.unionByName(first).withColumn("message", message)
 
 
 class GedcomError(ValueError):
@@ -192,11 +199,10 @@ class GedcomError(ValueError):
 
 
 def fail_on_rejected(parsed: DataFrame) -> None:
-    """Raise with the first malformed line; the check stops at the first record that has one."""
-    if parsed.where(F.size("rejected") > 0).isEmpty():
-        return
+    """Raise with the first malformed line, if there is one."""
     first = rejected_lines(parsed).orderBy("path", "line_no").first()
-    raise GedcomError(f"{first['path']}: {first['message']}")
+    if first is not None:
+        raise GedcomError(f"{first['path']}: {first['message']}")
 
 
 # ----------------------------------------------------------------- entities
