@@ -60,11 +60,11 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr(
-        "c_custkey as k",
-        "cast(floor(c_custkey / 3) as bigint) + 1 as family_id",
-        "cast(floor(c_custkey / 3) as bigint) % 4 as n_children",
-    )
+    """One family per three neighbouring customers; the first of them is the husband."""
+    grouped = table(spark, sf_dir, "customer").groupBy(
+        F.expr("cast(floor(c_custkey / 3) as bigint) as t")
+    ).agg(F.min("c_custkey").alias("k"))
+    return grouped.selectExpr("k", "t + 1 as family_id", "t % 4 as n_children")
 
 
 def family_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def family_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "family_id",
         "concat('F', family_id) as xref",
         "concat('I', k + 1) as husband_xref",
-        "concat('I', k + 2) as wife_xref",
+        "concat('I', case when k % 21 = 0 then k + 5000000 else k + 2 end) as wife_xref",
         "n_children",
     )
 
@@ -126,10 +126,10 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media records, some without a file."""
-    return table(spark, sf_dir, "part").where("p_partkey % 10 = 0").selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey as seq",
         "concat('O', p_partkey) as xref",
-        "case when p_partkey % 30 = 0 then null else concat(replace(p_brand, '#', ''), '/', p_partkey, '.jpg') end as file",
+        "case when p_partkey % 3 = 0 then null else concat(replace(p_brand, '#', ''), '/', p_partkey, '.jpg') end as file",
         "p_name as title",
     )
 
@@ -152,7 +152,7 @@ def person_links(spark: SparkSession, sf_dir: str) -> DataFrame:
              case when k % 3 = 1 then struct('SOUR' as tag, concat('S', k % 103) as target, 2 as seq) end,
              case when k % 3 = 2 then struct('SOUR' as tag, concat('S', (k + 25) % 103) as target, 2 as seq) end,
              struct('OBJE' as tag, concat('O', k - k % 10) as target, 3 as seq),
-             case when k % 40 = 1 then struct('OBJE' as tag, concat('O', k) as target, 4 as seq) end,
+             case when k % 4 = 1 then struct('OBJE' as tag, concat('O', k * 5) as target, 4 as seq) end,
              struct('NOTE' as tag, concat('N', k % 1100) as target, 5 as seq),
              case when k % 97 = 0 then struct('FAMS' as tag, concat('F', k + 1000000) as target, 9 as seq) end
            ))) as link""",
@@ -169,20 +169,22 @@ def person_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_xrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record ids of persons and families in file order; every 211th person comes twice."""
-    first = persons(spark, sf_dir).selectExpr("xref", "person_id as seq")
-    again = persons(spark, sf_dir).where("person_id % 211 = 0").selectExpr("xref", "person_id + 100000000 as seq")
+    people = persons(spark, sf_dir).selectExpr(
+        "xref", "explode(if(person_id % 211 = 0, array(person_id, person_id + 100000000), array(person_id))) as seq"
+    )
     fams = family_records(spark, sf_dir).selectExpr("xref", "family_id + 1000000000 as seq")
-    return first.unionByName(again).unionByName(fams)
+    return people.unionByName(fams)
 
 
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name variants of person records: the primary name and, for some, a second one."""
-    base = persons(spark, sf_dir)
-    primary = base.selectExpr(
-        "xref as owner_xref", "1 as seq", "coalesce(given_name, '') as given", "coalesce(surname, '') as surname"
-    ).where("given <> '' or surname <> ''")
-    second = base.where("person_id % 4 = 0").selectExpr(
-        "xref as owner_xref", "2 as seq", "coalesce(given_name, '') as given",
-        "coalesce(concat(initcap(surname), 's'), '') as surname",
+    given, surname = "coalesce(given_name, '')", "coalesce(surname, '')"
+    return persons(spark, sf_dir).selectExpr(
+        "xref as owner_xref",
+        f"""inline(array_compact(array(
+              case when {given} <> '' or {surname} <> ''
+                   then struct(1 as seq, {given} as given, {surname} as surname) end,
+              case when person_id % 4 = 0
+                   then struct(2 as seq, {given} as given, coalesce(concat(initcap(surname), 's'), '') as surname) end
+            )))""",
     )
-    return primary.unionByName(second)
