@@ -19,7 +19,7 @@ from stemma.functions.numeric import exact_round
 from stemma.functions.text import fold, has_text
 from stemma.operators.blocking import Branch, branches, dictionary_least, other_part
 from stemma.operators.enrich import child_edges, parent_edges, spouse_edges
-from stemma.operators.pair_rules import Settings, person_features, with_scores
+from stemma.operators.pair_rules import Settings, keep_where, person_features, with_scores
 from stemma.operators.variants import similar_texts
 from stemma.session import cut_lineage
 
@@ -198,15 +198,15 @@ def _dictionary(features: DataFrame, least: float) -> DataFrame:
 def profile_pairs(features: DataFrame, settings: Settings = DEFAULT, dictionary: DataFrame | None = None, focus: DataFrame | None = None) -> DataFrame:
     """Pairs of profiles whose members are candidates when they share no relative.
 
-    The result ``(pa, pb, ab_*, ba_*)`` has the score with a member of ``pa``
-    as first person and with a member of ``pb`` as first; the name rule treats
-    the first person's missing name parts differently. Each unordered pair of
-    profiles comes once, also a profile with itself.
+    The result ``(pa, pb, a, b, score, score_ba, ...)`` has the score with a
+    member of ``pa`` as first person and with a member of ``pb`` as first; the
+    name rule treats the first person's missing name parts differently. Each
+    unordered pair of profiles comes once, also a profile with itself.
     """
     plan = [b for b in branches(settings) if b.links == 0]
     if dictionary is None and any(b.by_token for b in plan):
         dictionary = _dictionary(features, dictionary_least(plan))
-    profiles = features.groupBy("profile").agg(F.first("f").alias("f"))
+    profiles = features.select("profile", "f").distinct()
     build = profiles.select(F.col("profile").alias("pb"), F.col("f").alias("b"))
     probe = profiles.select(F.col("profile").alias("pa"), F.col("f").alias("a"))
     if focus is not None:
@@ -222,10 +222,8 @@ def profile_pairs(features: DataFrame, settings: Settings = DEFAULT, dictionary:
         F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
         F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
     )
-    scored = with_scores(ordered, settings, "a", "b", prefix="ab_")
-    scored = with_scores(scored, settings, "b", "a", prefix="ba_")
-    kept = scored.where(F.greatest("ab_score", "ba_score") >= settings.threshold)
-    return kept.dropDuplicates(["pa", "pb"])
+    scored = with_scores(ordered, settings, both_ways=True)
+    return keep_where(scored, F.greatest("score", "score_ba") >= settings.threshold).distinct()
 
 
 def _members(features: DataFrame, side: str, focus: DataFrame | None = None) -> DataFrame:
@@ -242,13 +240,15 @@ def _spread(pairs: DataFrame, features: DataFrame, settings: Settings) -> DataFr
     one = F.col("ma.person_id") < F.col("mb.person_id")
     distinct = both.where((F.col("pa") != F.col("pb")) | one)
     pick = lambda x, y: F.when(one, x).otherwise(y)
-    fields = ("score", "confidence", "rules_used", "reasons")
     return distinct.select(
         pick(F.col("ma"), F.col("mb")).alias("m1"),
         pick(F.col("mb"), F.col("ma")).alias("m2"),
         pick(F.col("a"), F.col("b")).alias("a"),
         pick(F.col("b"), F.col("a")).alias("b"),
-        *[pick(F.col(f"ab_{x}"), F.col(f"ba_{x}")).alias(x) for x in fields],
+        pick(F.col("score"), F.col("score_ba")).alias("score"),
+        "confidence",
+        "rules_used",
+        "reasons",
     )
 
 
@@ -328,7 +328,7 @@ def duplicate_candidates(
     linked = _linked_pairs(features, edges, settings, dictionary, focused)
     open_pairs = apart.where(may_share).select("m1", "m2", "a", "b").unionByName(linked)
     open_pairs = open_pairs.withColumn("i", F.col("m1.person_id")).withColumn("j", F.col("m2.person_id"))
-    open_pairs = cut_lineage(open_pairs.dropDuplicates(["i", "j"]))
+    open_pairs = cut_lineage(open_pairs.distinct())
     shared = _shared_links(open_pairs.select("i", "j"), edges)
     sizes = edges.where("kind = 'c'").groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
     none = F.array().cast("array<bigint>")
@@ -344,9 +344,9 @@ def duplicate_candidates(
         F.coalesce("n1", F.lit(0)).alias("n_first"),
         F.coalesce("n2", F.lit(0)).alias("n_second"),
     )
-    rescored = with_scores(known.select("m1", "m2", "a", "b", x.alias("x")), settings, "a", "b", shared="x")
+    rescored = with_scores(known.select("m1", "m2", "a", "b", x.alias("x")), settings, shared="x")
     final = final.unionByName(rescored.select(*final.columns))
-    return final.where(F.col("score") >= settings.threshold).select(
+    return keep_where(final, F.col("score") >= settings.threshold).select(
         F.col("m1.person_id").alias("a_id"),
         F.col("m1.xref").alias("a_xref"),
         F.col("m1.name").alias("a_name"),

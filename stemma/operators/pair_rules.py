@@ -48,6 +48,17 @@ REASON_CHILDREN = ("fills en comú: ", "fills diferents")
 REASON_PLACE = ("mateix lloc de naixement", "llocs relacionats")
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter that stays above the columns it reads.
+
+    A plain filter on a computed score is moved into the join below with the
+    whole scoring expression copied into the join condition, so every pair
+    would be scored several times. A generator is not moved.
+    """
+    one_or_none = F.when(condition, F.array(F.lit(True)))
+    return df.withColumn("_kept", F.explode(one_or_none)).drop("_kept")
+
+
 @dataclass(frozen=True)
 class CustomRule:
     """A user rule: Columns over ``a`` and ``b`` and the highest score it can give.
@@ -124,26 +135,26 @@ def _id_set(ids: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(ids.cast("array<string>"), ", "), F.lit("}"))
 
 
-def with_scores(
-    pairs: DataFrame, settings: Settings, first: str = "a", second: str = "b", shared: str | None = None, prefix: str = ""
-) -> DataFrame:
-    """Add score, confidence, rules used and reasons to rows with two feature structs.
+def with_scores(pairs: DataFrame, settings: Settings, shared: str | None = None, both_ways: bool = False) -> DataFrame:
+    """Add score, confidence, rules used and reasons to rows with feature structs ``a`` and ``b``.
 
     ``shared`` names a struct of the shared family and child ids
     ``(p, m, c)`` and child counts ``(n_first, n_second)``; without it the two
-    persons share nothing. Output columns carry ``prefix``.
+    persons share nothing. Only the name rule depends on who comes first;
+    ``both_ways`` adds ``score_ba``, the score with ``b`` as first person.
     """
-    a, b = F.col(first), F.col(second)
+    a, b = F.col("a"), F.col("b")
     nothing = F.lit(False)
     given = F.when(a["has_g"] & b["has_g"], name_similarity(a["gf"], b["gf"], a["gk"], b["gk"])).otherwise(F.lit(0.0))
     surname = F.when(a["has_s"] & b["has_s"], name_similarity(a["sf"], b["sf"], a["sk"], b["sk"])).otherwise(F.lit(0.0))
-    staged = pairs.withColumn("_g", given).withColumn("_s", surname)
+    staged = pairs.withColumns({"_g": given, "_s": surname})
     g, s = F.col("_g"), F.col("_s")
     high = F.greatest(g, s)
-    low = F.least(F.when(a["has_g"], g).otherwise(s), F.when(a["has_s"], s).otherwise(g))
-    name = F.when(
-        a["has_g"] | a["has_s"], exact_round(F.lit(NAME_HIGH) * high + F.lit(NAME_LOW) * low, 2)
-    ).otherwise(F.lit(0.0))
+
+    def name_score(x: Column) -> Column:
+        low = F.least(F.when(x["has_g"], g).otherwise(s), F.when(x["has_s"], s).otherwise(g))
+        score = exact_round(F.lit(NAME_HIGH) * high + F.lit(NAME_LOW) * low, 2)
+        return F.when(x["has_g"] | x["has_s"], score).otherwise(F.lit(0.0))
 
     known = a["by"].isNotNull() & b["by"].isNotNull()
     overlap = (a["bs"] <= b["be"]) & (b["bs"] <= a["be"])
@@ -180,9 +191,11 @@ def with_scores(
         "birth": birth_case, "death": death_case, "parents": parents_case, "marriage": marriage_case,
         "children": children_case, "place": place_case,
     }
-    for rule, case in cases.items():
-        staged = staged.withColumn(f"_{rule}", case)
-    staged = staged.withColumn("_name", name).withColumn("_jaccard", jaccard)
+    columns = {f"_{rule}": case for rule, case in cases.items()}
+    columns |= {"_name": name_score(a), "_jaccard": jaccard}
+    if both_ways:
+        columns["_name_ba"] = name_score(b)
+    staged = staged.withColumns(columns)
 
     def table(rule: str, *outcomes: tuple) -> tuple[Column, Column, Column]:
         case = F.col(f"_{rule}")
@@ -231,20 +244,24 @@ def with_scores(
         results[rule.name] = (rule.score(a, b), rule.confidence(a, b), rule.reason(a, b))
         weights[rule.name] = rule.weight
 
-    total, sure = F.lit(0.0), F.lit(0.0)
-    used, reasons = [], []
-    for rule, (score, confidence, reason) in results.items():
-        counts = score > 0
-        total = total + F.when(counts, F.lit(float(weights[rule])) * score).otherwise(F.lit(0.0))
-        sure = sure + F.when(counts, F.lit(float(weights[rule])) * confidence).otherwise(F.lit(0.0))
-        used.append(F.when(counts, F.lit(rule)))
-        reasons.append(F.when(counts, reason))
-    divisor = float(settings.total_weight) or 1.0
+    def weighted(points: dict[str, Column]) -> Column:
+        """Sum in rule order over the rules that count, divided by all weights."""
+        total = F.lit(0.0)
+        for rule, point in points.items():
+            counts = results[rule][0] > 0
+            total = total + F.when(counts, F.lit(float(weights[rule])) * point).otherwise(F.lit(0.0))
+        return exact_round(total / (float(settings.total_weight) or 1.0), 3)
+
+    used = [F.when(score > 0, F.lit(rule)) for rule, (score, _, _) in results.items()]
+    reasons = [F.when(score > 0, reason) for score, _, reason in results.values()]
+    scores = {rule: score for rule, (score, _, _) in results.items()}
+    ways = [weighted(scores).alias("score")]
+    if both_ways:
+        ways.append(weighted({**scores, "name": F.col("_name_ba")}).alias("score_ba"))
     return staged.select(
         *pairs.columns,
-        exact_round(total / divisor, 3).alias(f"{prefix}score"),
-        exact_round(sure / divisor, 3).alias(f"{prefix}confidence"),
-        F.array_compact(F.array(*used)).alias(f"{prefix}rules_used"),
-        F.array_compact(F.array(*reasons)).alias(f"{prefix}reasons"),
-        F.col("_name").alias(f"{prefix}name_score"),
+        *ways,
+        weighted({rule: sure for rule, (_, sure, _) in results.items()}).alias("confidence"),
+        F.array_compact(F.array(*used)).alias("rules_used"),
+        F.array_compact(F.array(*reasons)).alias("reasons"),
     )

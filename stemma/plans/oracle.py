@@ -574,7 +574,7 @@ UNION ALL SELECT NULL, family_id, 'marriage', (1800 + family_id % 150)::VARCHAR,
 cte(
     "addresses",
     "",
-    """SELECT CASE WHEN c_custkey % 3 = 0 THEN p_name || ' de la ' || n_name WHEN c_custkey % 3 = 1 THEN n_name || ' ' || p_name || ' parish ' || (c_custkey % 5) ELSE p_name END AS name
+    """SELECT CASE WHEN c_custkey % 3 = 0 THEN p_name || ' de la ' || n_name WHEN c_custkey % 3 = 1 THEN n_name || ' ' || p_name || ' parish ' || (c_custkey % 5) WHEN c_custkey % 2 = 0 THEN p_name ELSE upper(replace(p_name, ' ', '-')) END AS name
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN part ON c_custkey = p_partkey""",
 )
 STOP = "('la', 'el', 'els', 'les', 'de', 'del', 'dels', 'l', 'san', 'santa', 'st')"
@@ -995,7 +995,7 @@ oracle("duplicate_top", "candidates", "SELECT a_id, b_id, score FROM candidates
 oracle("duplicate_candidates_strict", _PAIR_NEEDS, f"SELECT {_PAIR} FROM ({_candidates(0.65, {'name': 0.4, 'birth': 0.15})})")
 oracle("duplicate_candidates_with_place", _PAIR_NEEDS, f"SELECT {_PAIR} FROM ({_candidates(place=True)})")
 oracle("duplicate_candidates_custom_rule", _PAIR_NEEDS, f"SELECT {_PAIR} FROM ({_candidates(custom='sex')})")
-oracle("duplicates_of_person", "candidates", "SELECT a_id, b_id, score FROM candidates WHERE a_id = 42 OR b_id = 42")
+oracle("duplicates_of_person", "candidates", "SELECT a_id, b_id, score FROM candidates WHERE a_id = 10 OR b_id = 10")
 
 
 def _group_key(surname: bool = True, year: bool = False) -> str:
@@ -1126,7 +1126,7 @@ oracle(
   (SELECT count(*) FROM tasks s WHERE s.person_id = p.person_id) AS tasks,
   (SELECT count(*) FROM person_sources s WHERE s.person_id = p.person_id) AS sources,
   q.score AS quality,
-  (SELECT arg_min(event_id, date_year * 100000000 + event_id) FROM events s WHERE s.person_id = p.person_id) AS first_event,
+  (SELECT arg_min(event_id, date_year::BIGINT * 100000000 + event_id) FROM events s WHERE s.person_id = p.person_id) AS first_event,
   coalesce((SELECT string_agg(m.title, '|' ORDER BY m.title) FROM person_sources s JOIN source_map m ON m.xref = s.source_xref WHERE s.person_id = p.person_id), NULL) AS titles
 FROM people p JOIN scores q USING (person_id) WHERE p.surname = 'BOLT'""",
 )
@@ -1185,3 +1185,35 @@ UNION ALL SELECT 1, unnest(['## Observacions', '', '| Severitat | Categoria | Re
 UNION ALL SELECT 2, '| ' || severity || ' | ' || category || ' | ' || coalesce(ref, '-') || ' | ' || message || ' |' FROM findings
 UNION ALL SELECT 3, ''""",
 )
+
+_COUNTED = [
+    ("Persones", "persons"), ("Famílies", "families"), ("Fonts (SOUR)", "source_records"), ("Mitjans (OBJE)", "media_records"),
+    ("Llocs singulars", "places"), ("Esdeveniments", "raw_events"), ("Fills relacionats", "parent_children"),
+]
+_number = lambda t: f"(SELECT count(*) FROM {t})"
+_status = lambda t, n: f"CASE WHEN {_number(t)} = {n} THEN 'OK' ELSE 'FAIL' END"
+_SUMMARY_LINES = (
+    ["'# Informe d''importació'", "''", "'## Resum general'", "''", "'| Mètrica | Valor |'", "'|---|---|'"]
+    + [f"'| {label} | ' || {_number(t)} || ' |'" for label, t in _COUNTED]
+    + ["''", "'## Verificació de comptes'", "''"]
+    + [
+        f"'- **{label}**: ' || {_number(t)} || ' (esperat {n}) → **' || {_status(t, n)} || '**'"
+        for label, t, n in (("Persones", "persons", 1500), ("Famílies", "families", 500))
+    ]
+    + [
+        "''",
+        f"'**Resultat global:** ' || CASE WHEN {_number('persons')} = 1500 AND {_number('families')} = 500 THEN '**SUPERAT**' ELSE '**FALLIT**' END",
+        "''", "'## Coherència de dades'", "''",
+    ]
+)
+oracle(
+    "import_report", "persons families source_records media_records places raw_events parent_children family_child_records",
+    f"""SELECT 0 AS section, unnest([{', '.join(_SUMMARY_LINES)}]) AS line
+UNION ALL SELECT 1, unnest(['| Nivell | Codi | Xref | Missatge |', '|---|---|---|---|'])
+UNION ALL SELECT 2, '| ' || level || ' | ' || code || ' | ' || xref || ' | ' || message || ' |' FROM ({ISSUES['missing_child'][1]})
+UNION ALL SELECT 3, unnest(['', '## Esdeveniments per tipus', '', '| Tipus | Quantitat |', '|---|---|'])
+UNION ALL SELECT 4, '| ' || event_type || ' | ' || count(*) || ' |' FROM raw_events GROUP BY event_type
+UNION ALL SELECT 5, unnest(['', '## Cognoms més freqüents (top 15)', '', '| Cognom | Persones |', '|---|---|'])
+UNION ALL SELECT 6, '| ' || surname || ' | ' || n || ' |' FROM (SELECT surname, count(*) AS n FROM persons WHERE surname IS NOT NULL GROUP BY 1 ORDER BY n DESC, surname LIMIT 15)
+UNION ALL SELECT 7, ''""",
+)

@@ -885,7 +885,7 @@ def _(ds: Dataset) -> DataFrame:
 
 @on_dataset("duplicates_of_person")
 def _(ds: Dataset) -> DataFrame:
-    person = search.lookup(ds.enriched, "xref", "I42").select("person_id")
+    person = search.lookup(ds.enriched, "xref", "I10").select("person_id")
     found = duplicates.duplicate_candidates(ds.enriched, ds.families, ds.parent_children, focus=person)
     return found.select("a_id", "b_id", "score")
 
@@ -973,7 +973,7 @@ def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr(
             """case when c_custkey % 3 = 0 then concat(p_name, ' de la ', n_name)
                     when c_custkey % 3 = 1 then concat(n_name, ' ', p_name, ' parish ', c_custkey % 5)
-                    else p_name end as name"""
+                    when c_custkey % 2 = 0 then p_name else upper(replace(p_name, ' ', '-')) end as name"""
         )
     )
 

@@ -7,9 +7,10 @@ shuffle: lines, hierarchy and entities are array expressions on its row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from stemma.functions.numeric import let
 from stemma.functions.text import WHITESPACE, strip
@@ -49,24 +50,33 @@ _LEVELS = 10
 # -------------------------------------------------------------------- lines
 
 
-def read_records(spark: SparkSession, paths: str | list[str], record_separator: str = RECORD_SEPARATOR) -> DataFrame:
-    """``(path, block, rec, text)``: one row per level-0 record, in file order by ``block, rec``.
-
-    ``block`` is the start of the file split, ``rec`` rises within a split.
-    Files with bare carriage returns need ``record_separator="\\r0 "``. The
-    separator swallows ``0 ``, which is put back on all but the file's head.
-    """
-    raw = spark.read.option("lineSep", record_separator).text(paths).select(
+def scan_files(reader: DataFrameReader | DataStreamReader, paths: str | list[str], record_separator: str = RECORD_SEPARATOR) -> DataFrame:
+    """``(value, path, block)``: one row per level-0 record, read in batch or as a stream."""
+    return reader.option("lineSep", record_separator).text(paths).select(
         F.make_valid_utf8("value").alias("value"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("rec"),
     )
+
+
+def number_records(scanned: DataFrame) -> DataFrame:
+    """``(path, block, rec, head, text)``: records in file order by ``block, rec``.
+
+    ``block`` is the start of the file split, ``rec`` rises within a split.
+    The separator swallowed ``0 ``, which is put back on all but the file's
+    head.
+    """
+    raw = scanned.withColumn("rec", F.monotonically_increasing_id())
     looks_like_head = (F.col("block") == 0) & F.col("value").rlike("^\ufeff*\\s*\\d")
     blank = strip(F.btrim("value", F.lit("\ufeff"))) == ""
     return _put_back(raw.where(~(blank & (F.col("block") == 0))), looks_like_head)
 
 
+def read_records(spark: SparkSession, paths: str | list[str], record_separator: str = RECORD_SEPARATOR) -> DataFrame:
+    """Records of GEDCOM files; those with bare carriage returns need ``record_separator="\\r0 "``."""
+    return number_records(scan_files(spark.read, paths, record_separator))
+
+
 def records_from_text(df: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     """The same rows from whole texts held in a table, one text per row."""
     parts = df.select(F.col(path).alias("path"), F.posexplode(F.split(text, RECORD_SEPARATOR)).alias("rec", "value"))
