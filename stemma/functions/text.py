@@ -46,6 +46,19 @@ def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(single_from), "".join(single_to), tuple(several)
 
 
+@functools.cache
+def _combining_class() -> str:
+    """Regular-expression class of all combining marks, by rule."""
+    marks = [code for code in range(0x300, 0x10000) if unicodedata.combining(chr(code))]
+    ranges: list[list[int]] = []
+    for code in marks:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def strip(text: Column) -> Column:
     """Remove whitespace at both ends."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -72,7 +85,7 @@ def remove_accents(text: Column) -> Column:
         widened = F.aggregate(pairs, value, lambda acc, p: F.replace(acc, p["key"], p["value"]))
         return F.when(value.rlike(wide_class), widened).otherwise(value)
 
-    folded = F.regexp_replace(F.translate(text, single_from, single_to), "\\p{Mn}", "")
+    folded = F.regexp_replace(F.translate(text, single_from, single_to), _combining_class(), "")
     return F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(let(folded, fold_wide))
 
 

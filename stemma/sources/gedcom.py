@@ -85,7 +85,9 @@ def records_from_text(df: DataFrame, text: str = "text", path: str = "path") ->
 
 
 def _put_back(raw: DataFrame, head: Column) -> DataFrame:
-    text = F.when(head, F.col("value")).otherwise(F.concat(F.lit("0 "), F.col("value")))
+    # In files with CRLF the separator leaves its carriage return behind.
+    value = F.regexp_replace("value", "\r\\z", "")
+    text = F.when(head, value).otherwise(F.concat(F.lit("0 "), value))
     return raw.select("path", "block", "rec", head.alias("head"), text.alias("text"))
 
 
