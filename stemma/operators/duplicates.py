@@ -257,26 +257,29 @@ def _linked_pairs(features: DataFrame, edges: DataFrame, settings: Settings, dic
     plan = [b for b in branches(settings) if b.links > 0]
     person = F.struct("person_id", "xref", "name")
     joined = edges.join(features, "person_id")
-    probe = joined.select("kind", "link_id", person.alias("m1"), F.col("f").alias("a"))
-    build = joined.select("kind", "link_id", person.alias("m2"), F.col("f").alias("b"))
-    # Two shared links always include a family, so one side of the double key is a family.
-    first = edges.where("kind <> 'c'").select("person_id", F.col("kind").alias("kind_1"), F.col("link_id").alias("link_1"))
-    twice = joined.where("kind <> 'p'").join(first, "person_id").where("kind_1 < kind or kind = 'c'")
-    twice = twice.where("not (kind = 'm' and kind_1 = 'm')")
-    probe_2 = twice.select("kind", "link_id", "kind_1", "link_1", person.alias("m1"), F.col("f").alias("a"))
-    build_2 = twice.select("kind", "link_id", "kind_1", "link_1", person.alias("m2"), F.col("f").alias("b"))
-    if focus is not None:
-        wanted = focus.select("person_id")
-        keep = lambda df: df.join(wanted, F.col("m1.person_id") == F.col("person_id"), "left_semi")
-        probe, probe_2 = keep(probe), keep(probe_2)
+
+    def sides(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+        left = rows.select(*keys, person.alias("m1"), F.col("f").alias("a"))
+        if focus is not None:
+            wanted = focus.select("person_id")
+            left = left.join(wanted, F.col("m1.person_id") == F.col("person_id"), "left_semi")
+        return left, rows.select(*keys, person.alias("m2"), F.col("f").alias("b"))
+
     met = []
-    for branch in plan:
-        if branch.links == 2:
-            met.append(probe_2.join(build_2, ["kind", "link_id", "kind_1", "link_1"]).select("m1", "a", "m2", "b"))
-        else:
-            pairs = _branch_pairs(probe, build, branch, dictionary, ["kind", "link_id"], True)
-            met.append(pairs.select("m1", "a", "m2", "b"))
-    both = reduce(DataFrame.unionByName, met) if met else probe.join(build, F.lit(False)).select("m1", "a", "m2", "b")
+    # A family has two partners at most, so all pairs of partners are simply taken.
+    probe, build = sides(joined.where("kind = 'm'"), "link_id")
+    met.append(probe.join(build, "link_id").select("m1", "a", "m2", "b"))
+    # Siblings and persons with a common child: a family or child may be hot, so dates and names are keys too.
+    probe, build = sides(joined.where("kind <> 'm'"), "kind", "link_id")
+    for branch in (b for b in plan if b.links == 1):
+        pairs = _branch_pairs(probe, build, branch, dictionary, ["kind", "link_id"], True)
+        met.append(pairs.select("m1", "a", "m2", "b"))
+    if any(b.links == 2 for b in plan):
+        # Two shared links without a common family of their own: same parents and a common child.
+        origins = edges.where("kind = 'p'").select("person_id", F.col("link_id").alias("origin"))
+        probe, build = sides(joined.where("kind = 'c'").join(origins, "person_id"), "link_id", "origin")
+        met.append(probe.join(build, ["link_id", "origin"]).select("m1", "a", "m2", "b"))
+    both = reduce(DataFrame.unionByName, met)
     one = F.col("m1.person_id") < F.col("m2.person_id")
     pick = lambda x, y: F.when(one, F.col(x)).otherwise(F.col(y))
     return both.where("m1.person_id <> m2.person_id").select(

@@ -123,9 +123,9 @@ def enrich_persons(
         F.coalesce("event_count", F.lit(0)).alias("event_count"),
         *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_parents", "has_family", "has_children")],
     )
-    return dated.withColumn("birth", parse_date(F.col("birth_date"))).withColumn(
-        "death", parse_date(F.col("death_date"))
-    )
+    # One parsing expression for both dates keeps the plan small.
+    both = dated.withColumn("_parsed", F.transform(F.array("birth_date", "death_date"), parse_date))
+    return both.withColumns({"birth": F.col("_parsed")[0], "death": F.col("_parsed")[1]}).drop("_parsed")
 
 
 def referenced_places(events: DataFrame) -> DataFrame:

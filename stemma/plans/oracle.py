@@ -814,10 +814,9 @@ oracle(
 # -------------------------------------------------------------- enrichment
 
 oracle("derived_life_dates", "people", "SELECT person_id, birth_date, death_date FROM people")
-_LIST = "string_agg({v}::VARCHAR, '|' ORDER BY {v})"
-oracle("families_as_child", "parent_children", f"SELECT child_id AS person_id, {_LIST.format(v='family_id')} AS family_ids FROM parent_children GROUP BY 1")
-oracle("families_as_spouse", "spouse_edges", f"SELECT person_id, {_LIST.format(v='family_id')} AS family_ids FROM spouse_edges GROUP BY 1")
-oracle("children_of_parents", "parent_edges", f"SELECT person_id, {_LIST.format(v='child_id')} AS child_ids FROM parent_edges GROUP BY 1")
+oracle("families_as_child", "parent_children", "SELECT child_id AS person_id, family_id FROM parent_children")
+oracle("families_as_spouse", "spouse_edges", "SELECT person_id, family_id FROM spouse_edges")
+oracle("children_of_parents", "parent_edges", "SELECT person_id, child_id FROM parent_edges")
 oracle("children_of_families", "parent_children", "SELECT family_id, child_id, min(sibling_order) AS sibling_order FROM parent_children GROUP BY 1, 2")
 oracle("person_events_with_places", "events", "SELECT event_id, person_id, event_type, place FROM events")
 oracle("referenced_places", "places", "SELECT place_key, name FROM places")

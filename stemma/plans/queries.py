@@ -481,20 +481,17 @@ def _(ds: Dataset) -> DataFrame:
 
 @on_dataset("families_as_child")
 def _(ds: Dataset) -> DataFrame:
-    lists = enrich.id_lists(enrich.child_edges(ds.parent_children), "family_id", "ids")
-    return lists.select("person_id", _joined(F.col("ids").cast("array<string>")).alias("family_ids"))
+    return enrich.child_edges(ds.parent_children)
 
 
 @on_dataset("families_as_spouse")
 def _(ds: Dataset) -> DataFrame:
-    lists = enrich.id_lists(enrich.spouse_edges(ds.families), "family_id", "ids")
-    return lists.select("person_id", _joined(F.col("ids").cast("array<string>")).alias("family_ids"))
+    return enrich.spouse_edges(ds.families)
 
 
 @on_dataset("children_of_parents")
 def _(ds: Dataset) -> DataFrame:
-    lists = enrich.id_lists(enrich.parent_edges(ds.families, ds.parent_children), "child_id", "ids")
-    return lists.select("person_id", _joined(F.col("ids").cast("array<string>")).alias("child_ids"))
+    return enrich.parent_edges(ds.families, ds.parent_children)
 
 
 @on_dataset("children_of_families")
