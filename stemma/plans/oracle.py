@@ -1201,7 +1201,7 @@ _SUMMARY_LINES = (
     ]
     + [
         "''",
-        f"'**Resultat global:** ' || CASE WHEN {_number('persons')} = 1500 AND {_number('families')} = 500 THEN '**SUPERAT**' ELSE '**FALLIT**' END",
+        f"'**Resultat global:** ' || CASE WHEN {_number('persons')} = 1500 AND {_number('families')} = 500 THEN 'SUPERAT' ELSE 'FALLIT' END",
         "''", "'## Coherència de dades'", "''",
     ]
 )
