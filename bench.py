@@ -74,10 +74,5 @@ def main() -> None:
     )
 
 
-def finish(ds.candidates) -> None:
-    """Search the candidates and keep them for the queries that read them."""
-    finish(ds.candidates)
-
-
 if __name__ == "__main__":
     main()

@@ -22,6 +22,8 @@ SURNAME_PUNCTUATION = "[’'·.\\-]"
 
 SLUG_LENGTH = 120
 
+# Where the common Latin letters end.
+_COMMON_END = 0x180
 # The code points whose compatibility decomposition is folded.
 _FOLD_RANGES = ((0x80, 0x3000), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
 
@@ -79,14 +81,18 @@ def remove_accents(text: Column) -> Column:
     single_from, single_to, several = _fold_table()
     listed = "\u0002".join(f"{a}\u0001{b}" for a, b in several)
     wide_class = "[" + "".join(a for a, _ in several) + "]"
+    # Most texts need no more than the one-to-one map; two ranges tell the others.
+    low = "".join(a for a, _ in several if ord(a) < _COMMON_END)
+    uncommon = f"[{low}\\x{{{_COMMON_END:x}}}-\\x{{10ffff}}]"
 
-    def fold_wide(value: Column) -> Column:
+    def fold_rest(value: Column) -> Column:
         pairs = F.map_entries(F.str_to_map(F.lit(listed), F.lit("\u0002"), F.lit("\u0001")))
         widened = F.aggregate(pairs, value, lambda acc, p: F.replace(acc, p["key"], p["value"]))
-        return F.when(value.rlike(wide_class), widened).otherwise(value)
+        whole = F.when(value.rlike(wide_class), widened).otherwise(value)
+        return F.when(value.rlike(uncommon), F.regexp_replace(whole, _combining_class(), "")).otherwise(value)
 
-    folded = F.regexp_replace(F.translate(text, single_from, single_to), _combining_class(), "")
-    return F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(let(folded, fold_wide))
+    mapped = F.translate(text, single_from, single_to)
+    return F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(let(mapped, fold_rest))
 
 
 def fold(text: Column) -> Column:

@@ -149,11 +149,13 @@ def parse_records(records: DataFrame) -> DataFrame:
         return F.struct(last.alias("last"), F.concat(acc["parents"], F.array(parent)).alias("parents"))
 
     walked = kept.withColumn("parents", F.aggregate("good", nothing, step, lambda acc: acc["parents"]))
+    # Zipped, not looked up by position: a lookup inside the lambda would walk the record once per line.
     lines = F.transform(
-        "good",
-        lambda x, i: F.struct(
-            i.alias("idx"), x["line"].alias("line"), x["level"].alias("level"), x["xref"].alias("xref"),
-            x["tag"].alias("tag"), x["value"].alias("value"), F.col("parents")[i].alias("parent"),
+        F.arrays_zip("good", "parents"),
+        lambda z, i: F.struct(
+            i.alias("idx"), z["good"]["line"].alias("line"), z["good"]["level"].alias("level"),
+            z["good"]["xref"].alias("xref"), z["good"]["tag"].alias("tag"), z["good"]["value"].alias("value"),
+            z["parents"].alias("parent"),
         ),
     )
     return walked.select("path", "block", "rec", "head", "n_lines", lines.alias("lines"), "rejected")
