@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stemma.functions.names import name_similarity
 from stemma.functions.places import place_canonical, place_tokens, token_jaccard
 from stemma.functions.text import fold, has_text, phonetic_key
+from stemma.operators.pair_rules import keep_where
 from stemma.session import cut_lineage
 
 # Known variants of common given names.
@@ -146,10 +147,12 @@ def similar_token_sets(sets: DataFrame, min_similarity: float) -> DataFrame:
     a = keys.select(F.col("tokens").alias("a"), F.col("n").alias("na"), "key")
     b = keys.select(F.col("tokens").alias("b"), F.col("n").alias("nb"), "key")
     close = (F.least("na", "nb") >= F.greatest("na", "nb") * bound - 1e-9) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "key").where(close).select("a", "b", "na", "nb").dropDuplicates()
     shared = F.size(F.array_intersect("a", "b"))
-    scored = pairs.select("a", "b", token_jaccard(shared, F.col("na"), F.col("nb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= min_similarity)
+    scored = a.join(b, "key").where(close).select(
+        "a", "b", token_jaccard(shared, F.col("na"), F.col("nb")).alias("similarity")
+    )
+    # Scored where they meet, so only pairs that stay are shuffled.
+    return keep_where(scored, F.col("similarity") >= min_similarity).distinct()
 
 
 def place_similarity_join(places: DataFrame, min_similarity: float = PLACE_MATCH, column: str = "name") -> DataFrame:
@@ -243,9 +246,8 @@ def similar_texts(texts: DataFrame, min_similarity: float, column: str = "text")
         F.substr(F.col("t"), F.col("p"), F.col("len")).alias("piece"),
     ).dropDuplicates()
 
-    met = short_keys.join(long_keys, ["na", "nb", "i", "piece"]).where("na < nb or a < b").select("a", "b", "nb")
-    limit = edits(F.col("nb"))
-    near = met.dropDuplicates(["a", "b"]).where(F.levenshtein("a", "b") <= limit).select("a", "b")
+    met = short_keys.join(long_keys, ["na", "nb", "i", "piece"]).where("na < nb or a < b")
+    near = met.where(F.levenshtein("a", "b") <= edits(F.col("nb"))).select("a", "b").distinct()
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
