@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.exact_dedup import exact_dedup
+from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +32,14 @@ SELECT doc_id,
 FROM texts
 """
 
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_simhash_dedup": op6_simhash_dedup,
 }
 
 LLM_ORACLE: dict[str, str] = {
