@@ -143,6 +143,7 @@ def exact_dedup(
         "row_id",
     )
     groups = rows.groupBy("n_blocks", "name").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut_lineage(groups)
     return rows.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
