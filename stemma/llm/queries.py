@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.exact_dedup import exact_dedup
+from stemma.llm.packing import pack_documents
 from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import table
 
@@ -33,12 +34,19 @@ FROM texts
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 LLM_QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_packing": op5_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
 }
 
