@@ -40,10 +40,10 @@ VOCABULARY = "word_bpe_49k.json"
 #: The id put after every document.
 END = 0
 #: Rounds of the multiplicative weights, and how hard a price follows the coverage of its length.
-ROUNDS = 32
-RATE = 1.0
+ROUNDS = 24
+RATE = 3.0
 #: How much less than the most a configuration may be worth and still get a step.
-SLACK = 0.003
+SLACK = 0.002
 #: Words whose ids a Python worker remembers, and the longest word remembered.
 REMEMBERED = 1 << 17
 LONGEST_WORD = 64

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stemma.llm.exact_dedup import exact_dedup
+from stemma.llm.labelled import fold
 from stemma.llm.packing import pack_documents
+from stemma.llm.quality_sites import quality_scores
 from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import table
+from stemma.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,10 +48,31 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+#: Score from which a document counts as toxic.
+TOXIC = 0.7
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "row.doc_id",
+        F.coalesce(fold("row.doc_id") == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
+def op9_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("row.doc_id", "document_score", "host_rate", "path_rate", "posterior", "good")
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op9_quality_sites": op9_quality_sites,
 }
 
 LLM_ORACLE: dict[str, str] = {
