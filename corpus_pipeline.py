@@ -7,19 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.exact_dedup import exact_dedup
+from stemma.llm.packing import pack_documents
+from stemma.llm.quality_sites import quality_scores
+from stemma.llm.queries import TOXIC
+from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import keep_rows, table
+from stemma.llm.toxicity import toxicity
 from stemma.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior says good stay."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.where("good").select("row.*")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold stay."""
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.where(scored.score < TOXIC).select("row.*")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return keep_rows(docs, exact_dedup(docs).where("kept"))
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked fingerprints stays."""
+    return keep_rows(docs, simhash_dedup(docs).where("kept"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces of the documents that are left."""
+    return pack_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("packing", packing_stage),
 ]
 
 #: The classifiers and the packing have no SQL form; the tests hold run() against a plain version.
