@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,7 +61,10 @@ _workers: dict[str, WordEncoder] = {}
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 def _byte_letters() -> dict[int, int]:
@@ -76,31 +81,47 @@ class WordEncoder:
     those of its words between spaces and line feeds, in order. A word of plain
     letters and signs is split by the vocabulary's own pattern and given to
     its merges directly; any other word goes through the whole tokenizer.
-    Words are remembered in two generations: when the young one is full it
-    becomes the old one, so frequent words stay and memory is bounded.
+    Words and their parts are remembered in two generations: when the young
+    one is full it becomes the old one, so frequent ones stay and memory is
+    bounded.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.merge = self.tokenizer.model.tokenize
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self.letters = _byte_letters()
 
+    def _part(self, part: str) -> bytes:
+        ids = self.old_parts.get(part)
+        if ids is None:
+            seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = packed([t.id for t in self.merge(seen)])
+        if len(part) <= LONGEST_WORD:
+            if len(self.parts) >= REMEMBERED:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = ids
+        return ids
+
     def _new(self, word: str) -> bytes:
-        if word in self.old:
-            ids = self.old[word]
-        elif PLAIN.fullmatch(word):
-            found: list[int] = []
-            lower = word.lower()
-            for part in [lower] if lower.isalpha() else SPLIT.findall(lower):
-                if not part.isascii():
-                    part = part.encode().decode("latin-1").translate(self.letters)
-                found += [t.id for t in self.model.tokenize(part)]
-            ids = packed(found)
-        else:
-            ids = packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        ids = self.old.get(word)
+        if ids is None:
+            if PLAIN.fullmatch(word):
+                lower = word.lower()
+                if lower.isalpha():
+                    split = [lower]
+                elif lower[:-1].isalpha():
+                    split = [lower[:-1], lower[-1]]
+                else:
+                    split = SPLIT.findall(lower)
+                known = self.parts.get
+                ids = b"".join([known(p) or self._part(p) for p in split])
+            else:
+                ids = packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= LONGEST_WORD:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {"": b""}
