@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.exact_dedup import exact_dedup
+from stemma.llm.html_extract import extract_main_text
 from stemma.llm.labelled import fold
 from stemma.llm.packing import pack_documents
 from stemma.llm.quality_sites import quality_scores
@@ -18,6 +19,11 @@ from stemma.llm.toxicity import toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -68,6 +74,7 @@ def op9_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op1_html_text": op1_html_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
