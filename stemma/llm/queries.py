@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.llm import oracle
 from stemma.llm.exact_dedup import exact_dedup
 from stemma.llm.html_extract import extract_main_text
 from stemma.llm.labelled import fold
@@ -15,6 +16,7 @@ from stemma.llm.quality_sites import quality_scores
 from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import table
 from stemma.llm.toxicity import toxicity
+from stemma.llm.url_filter import judge_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,20 +32,6 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP4_SQL = """
-WITH texts AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n_points,
-         sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
-  FROM documents)
-SELECT doc_id,
-       first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) AS keep_id,
-       count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       row_number() OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) = 1 AS kept,
-       text_sha256
-FROM texts
-"""
-
-
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -68,6 +56,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the URL filter.
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("row.doc_id", "document_score", "host_rate", "path_rate", "posterior", "good")
@@ -79,9 +76,11 @@ LLM_QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_sites": op9_quality_sites,
 }
 
 LLM_ORACLE: dict[str, str] = {
-    "op4_exact_dedup": OP4_SQL,
+    "op4_exact_dedup": oracle.EXACT_DEDUP,
+    "op8_url_filter": oracle.URL_FILTER,
 }
