@@ -11,6 +11,7 @@ from stemma.llm import oracle
 from stemma.llm.exact_dedup import exact_dedup
 from stemma.llm.html_extract import extract_main_text
 from stemma.llm.labelled import fold
+from stemma.llm.neighbours import nearest_neighbours
 from stemma.llm.packing import pack_documents
 from stemma.llm.quality_sites import quality_scores
 from stemma.llm.simhash_dedup import simhash_dedup
@@ -70,6 +71,10 @@ def op9_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "document_score", "host_rate", "path_rate", "posterior", "good")
 
 
+def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op4_exact_dedup": op4_exact_dedup,
@@ -78,6 +83,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_quality_sites": op9_quality_sites,
+    "op10_forest_neighbours": op10_forest_neighbours,
 }
 
 LLM_ORACLE: dict[str, str] = {
