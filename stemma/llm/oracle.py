@@ -15,6 +15,19 @@ SELECT doc_id,
 FROM texts
 """
 
+WARC = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id
+  FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
 URL_FILTER = r"""
 WITH RECURSIVE
 urls AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),

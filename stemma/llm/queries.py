@@ -18,6 +18,8 @@ from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import table
 from stemma.llm.toxicity import toxicity
 from stemma.llm.url_filter import judge_urls, rule_table
+from stemma.llm.warc import page_records, read_archives, write_archives
+from stemma.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = cut_lineage(write_archives(table(spark, sf_dir, "pages")))
+    return page_records(read_archives(archives))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -77,6 +84,7 @@ def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
+    "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_simhash_dedup": op6_simhash_dedup,
@@ -87,6 +95,7 @@ LLM_QUERIES: dict[str, Query] = {
 }
 
 LLM_ORACLE: dict[str, str] = {
+    "op3_warc": oracle.WARC,
     "op4_exact_dedup": oracle.EXACT_DEDUP,
     "op8_url_filter": oracle.URL_FILTER,
 }
