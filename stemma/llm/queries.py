@@ -14,6 +14,7 @@ from stemma.llm.labelled import fold
 from stemma.llm.neighbours import nearest_neighbours
 from stemma.llm.packing import pack_documents
 from stemma.llm.quality_sites import quality_scores
+from stemma.llm.sentencepiece_codec import encode_texts
 from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import table
 from stemma.llm.toxicity import toxicity
@@ -29,6 +30,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "restored")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = cut_lineage(write_archives(table(spark, sf_dir, "pages")))
     return page_records(read_archives(archives))
@@ -84,6 +90,7 @@ def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
