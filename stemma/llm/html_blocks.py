@@ -50,6 +50,8 @@ PARTS = {
 }
 _WHOLE = {w: part for part, words in PARTS.items() for w in words.split() if not w.endswith("*")}
 _STEMS = [(w[:-1], part) for part, words in PARTS.items() for w in words.split() if w.endswith("*")]
+#: Elements nested deeper than this are not told apart, as in browsers.
+DEPTH = 512
 LANDMARKS = frozenset("article main nav header footer aside form section table ul ol figure blockquote dialog".split())
 PHRASES = {
     "legal": re.compile(r"©|\(c\)|copyright|all rights reserved|terms of (?:use|service)|privacy", re.I),
@@ -101,7 +103,7 @@ def leaf_blocks(page: str) -> list[Block]:
     path: list[Element] = []
     blocks: list[Block] = []
     pieces: list[str] = []
-    linked = links = 0
+    linked = links = deeper = 0
 
     def flush() -> None:
         nonlocal linked
@@ -143,13 +145,19 @@ def leaf_blocks(page: str) -> list[Block]:
             flush()
             if closing:
                 links = 0
+                if deeper:
+                    deeper -= 1
+                    continue
                 for i in range(len(path) - 1, -1, -1):
                     if path[i].tag == name:
                         del path[i:]
                         break
                 continue
-            if path and path[-1].tag == "p":
+            if path and path[-1].tag == "p" and not deeper:
                 path.pop()
+            if len(path) >= DEPTH:
+                deeper += 1
+                continue
             ends, upto = IMPLIED.get(name, ((), ()))
             for i in range(len(path) - 1, -1, -1) if ends else ():
                 if path[i].tag in upto:

@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -264,7 +265,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Dat
     """``rows`` with the column ``text`` for their ids; null ids have a null text, unknown ids are an error."""
 
     @F.pandas_udf("string")
-    def decoded(batches):
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model)
         for batch in batches:
             yield batch.map(lambda ids: None if ids is None else own.decode(ids))
