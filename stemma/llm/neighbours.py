@@ -58,7 +58,7 @@ class Tree:
         open_rows = np.arange(len(vectors))
         while len(open_rows):
             node = at[open_rows]
-            side = np.einsum("ij,ij->i", vectors[open_rows], self.directions[node]) > self.thresholds[node]
+            side = (vectors[open_rows] * self.directions[node]).sum(axis=1) > self.thresholds[node]
             at[open_rows] = self.children[node, side.astype(int)]
             open_rows = open_rows[at[open_rows] >= 0]
         return -1 - at
@@ -77,7 +77,7 @@ def grow_tree(sample: np.ndarray, leaf: float, random: np.random.Generator) -> T
             if not own.any():
                 own = random.standard_normal(sample.shape[1])
             own = own / np.linalg.norm(own)
-            reach = sample[rows] @ own
+            reach = (sample[rows] * own).sum(axis=1)
             cut = float(np.median(reach))
             right = reach > cut
             if right.all() or not right.any():
