@@ -70,7 +70,7 @@ _SLASHED = "(?:\\d{1,2}[./-])?\\d{1,2}[./-]\\d{4}|" + _SLASHED_DAY
 
 def _spaced(text: Column) -> Column:
     """Upper-case tokens separated and enclosed by single spaces."""
-    tokens = strip(F.regexp_replace(F.upper(text), "(?U)[\\s,]+", " "))
+    tokens = strip(F.regexp_replace(F.upper(text), "(?U)[\\s\\x1c-\\x1f,]+", " "))
     return F.concat(F.lit(" "), tokens, F.lit(" "))
 
 

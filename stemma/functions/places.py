@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stemma.functions.numeric import exact_round
-from stemma.functions.text import blank_to_null, dashed, fold
+from stemma.functions.text import SPACES, blank_to_null, dashed, fold
 
 # Words left out of place tokens.
 STOPWORDS = ("la", "el", "els", "les", "de", "del", "dels", "l", "san", "santa", "st")
@@ -14,7 +14,7 @@ STOPWORDS = ("la", "el", "els", "les", "de", "del", "dels", "l", "san", "santa",
 
 def place_tokens(name: Column) -> Column:
     """Significant words of a place, in order."""
-    words = F.split(fold(name), "(?U)\\s+")
+    words = F.split(fold(name), SPACES)
     return F.filter(words, lambda w: (w != "") & ~w.isin(*STOPWORDS))
 
 

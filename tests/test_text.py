@@ -78,3 +78,40 @@ def test_exact_round_equals_python(spark, pairs):
     values = [min(1.0, a / b) for a, b in pairs] + [0.575, 0.125, 0.375, 0.545, 0.005, 2.675]
     assert many(spark, values, lambda x: exact_round(x, 2), "double") == [round(v, 2) for v in values]
     assert many(spark, values, lambda x: exact_round(x, 3), "double") == [round(v, 3) for v in values]
+
+
+def _plain(value):
+    return "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+
+
+def _signs():
+    return (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+
+
+def test_every_sign_that_decomposes(spark):
+    signs = [c for c in _signs() if _plain(c) != c]
+    texts = [f"a{c}b" for c in signs] + ["ﾊﾛ", "한국 각", "Straße Ångström ½", "𝔄𝔟 ①", "é\U0001d165", "x" * 5000 + "é" * 5000]
+    assert len(signs) > 17_000
+    assert many(spark, texts, text.remove_accents) == [_plain(t) for t in texts]
+
+
+def test_every_sign_that_case_folds(spark):
+    signs = [c for c in _signs() if c.casefold() != c]
+    texts = [f"a{c}b" for c in signs] + ["Straße", "STRASSE", "ΟΔΟΣ", "ὈΔΥΣΣΕΎΣ", "İstanbul", "ŉ ǰ ﬄ", "plain"]
+    assert many(spark, texts, text.casefold) == [t.casefold() for t in texts]
+
+
+def test_keys_fold_case(spark):
+    assert many(spark, ["Straße", "STRASSE", "straße "], text.place_key) == ["strasse"] * 3
+    assert many(spark, ["Weiß", "WEISS", "Παπάς", "ΠΑΠΆΣ"], text.name_key) == ["weiss", "weiss", "παπάσ", "παπάσ"]
+
+
+def test_phonetic_key_of_letters_without_a_class(spark):
+    assert many(spark, ["Großmann", "Weiß", "Weiss", "ßab", "ñ한"], text.phonetic_key) == ["G655", "W000", "W200", "SS10", "N000"]
+
+
+def test_all_white_space_is_stripped(spark):
+    spaces = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    assert text.WHITESPACE == spaces
+    assert one(spark, f"{spaces}a{spaces}b{spaces}", text.strip) == f"a{spaces}b"
+    assert one(spark, f"a{spaces}b", text.collapse_spaces) == "a b"
