@@ -411,14 +411,14 @@ def links(roots: DataFrame) -> DataFrame:
 
 
 def event_links(roots: DataFrame) -> DataFrame:
-    """``(owner_xref, position, tag, target)`` of the source and media pointers of events."""
+    """``(seq, owner_xref, position, tag, target)`` of the source and media pointers of events."""
     lines = F.col("lines")
     rows = roots.where(F.col("tag").isin("INDI", "FAM")).select(
-        F.col("xref").alias("owner_xref"), "lines", F.posexplode(_kids(*EVENT_TYPES)).alias("position", "e")
+        "seq", F.col("xref").alias("owner_xref"), "lines", F.posexplode(_kids(*EVENT_TYPES)).alias("position", "e")
     )
     found = rows.select(
-        "owner_xref", (F.col("position") + 1).alias("position"), F.explode(_children(lines, F.col("e.idx"), "SOUR", "OBJE")).alias("x")
+        "seq", "owner_xref", (F.col("position") + 1).alias("position"), F.explode(_children(lines, F.col("e.idx"), "SOUR", "OBJE")).alias("x")
     )
     return found.where(_is_pointer(F.col("x.value"))).select(
-        "owner_xref", "position", F.col("x.tag").alias("tag"), _bare(F.col("x.value")).alias("target")
+        "seq", "owner_xref", "position", F.col("x.tag").alias("tag"), _bare(F.col("x.value")).alias("target")
     )
