@@ -263,11 +263,6 @@ def parse_date(text: Column) -> Column:
     return F.when(F.coalesce(original != "", F.lit(False)), parsed).otherwise(unknown)
 
 
-def parse_year(text: Column) -> Column:
-    """Analytic year of a date text."""
-    return parse_date(text)["year"]
-
-
 def date_from_iso(iso: Column, date_text: Column | None = None, date_year: Column | None = None) -> Column:
     """Date struct of a stored ISO text, falling back to the text and year of its event."""
     digits = lambda part: F.when(part.rlike("^\\d+$"), part.cast("int"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from stemma.functions.dates import normalize_date
 from stemma.functions.numeric import exact_round
-from stemma.functions.places import place_display
 from stemma.functions.text import has_text, place_key
 
 # Lengths of the top lists.
@@ -123,23 +122,19 @@ def year_series(by_year: DataFrame) -> DataFrame:
 
 
 def birth_year_range(persons: DataFrame, events: DataFrame) -> DataFrame:
-    """Range over the persons' birth years and the years of birth events."""
+    """Range over the persons' birth years and the years of the birth events of persons."""
     own = persons.select(F.col("birth.year").alias("y"))
-    from_events = events.where(F.lower("event_type") == "birth").select(F.col("date_year").alias("y"))
+    told = events.where(F.col("person_id").isNotNull() & (F.lower("event_type") == "birth"))
+    from_events = told.select(F.col("date_year").alias("y"))
     return own.unionByName(from_events).agg(F.min("y").alias("min_year"), F.max("y").alias("max_year"))
 
 
 def top_places(events: DataFrame, n: int = TOP_PLACES) -> DataFrame:
-    named = events.where(has_text(F.col("place"))).select(F.col("place").alias("name"))
+    """The most frequent places of events of persons."""
+    named = events.where(F.col("person_id").isNotNull() & has_text(F.col("place"))).select(F.col("place").alias("name"))
     return named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(n)
 
 
-def with_place_label(events: DataFrame, places: DataFrame) -> DataFrame:
-    """Attach the shown name (name, else display name) of each event's place."""
-    shown = places.select("place_key", place_display(F.col("name"), F.col("display_name")).alias("place"))
-    return events.drop("place").join(shown, "place_key", "left")
-
-
 def largest_branches(parent_children: DataFrame, n: int = LARGEST_BRANCHES) -> DataFrame:
     """Families with the most children."""
     sizes = parent_children.groupBy("family_id").agg(F.count_distinct("child_id").alias("children"))
@@ -166,7 +161,7 @@ def one_row(*parts: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def first_persons(persons: DataFrame, n: int = 5000) -> DataFrame:
+def first_persons(persons: DataFrame, n: int) -> DataFrame:
     """The first ``n`` persons by id."""
     return persons.orderBy("person_id").limit(n)
 

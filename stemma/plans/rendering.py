@@ -104,11 +104,10 @@ def write_gedcom(spark: SparkSession, sf_dir: str) -> str:
     if key not in _written:
         name = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
         path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/gedcom-{name}"
-        texts = person_texts(spark, sf_dir).unionByName(family_texts(spark, sf_dir)).unionByName(other_texts(spark, sf_dir))
-        # Every file starts with a header record: the first row of each output partition.
-        headed = texts.withColumn("first", (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))) == 0)
-        headed.select(F.when(F.col("first"), F.concat(F.lit("0 HEAD\n1 CHAR UTF-8\n"), "text")).otherwise(F.col("text"))).write.mode(
-            "overwrite"
-        ).text(path)
+        # One header record, whatever the number of files.
+        texts = spark.range(1).select(F.lit("0 HEAD\n1 CHAR UTF-8").alias("text"))
+        for more in (person_texts, family_texts, other_texts):
+            texts = texts.unionByName(more(spark, sf_dir))
+        texts.write.mode("overwrite").text(path)
         _written[key] = path
     return _written[key]

@@ -45,6 +45,8 @@ BAD_LEVEL, NO_TAG, BARE_POINTER = "nivell no numèric", "falta el tag", "punter
 RECORD_SEPARATOR = "\n0 "
 _LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 _LEVELS = 10
+# Lines whose parents are gathered before the run is closed.
+_RUN = 256
 
 
 # -------------------------------------------------------------------- lines
@@ -130,7 +132,9 @@ def parse_records(records: DataFrame) -> DataFrame:
 
     The parent of a line is the nearest line before it with a smaller level.
     Walking the lines once, the last line of each of the ten levels is kept;
-    the parent is the latest of those below the own level.
+    the parent is the latest of those below the own level. Parents are gathered
+    in runs, as every step copies what has been gathered in the present run
+    only.
     """
     split = records.select("path", "block", "rec", "head", F.split("text", _LINE_BREAKS).alias("raws"))
     read = F.filter(F.transform("raws", _read_line), lambda x: strip(x["raw"]) != "")
@@ -140,15 +144,24 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.filter("read", lambda x: x["reason"].isNull()).alias("good"),
         F.filter("read", lambda x: x["reason"].isNotNull()).alias("rejected"),
     )
-    nothing = F.struct(F.array_repeat(F.lit(-1), _LEVELS).alias("last"), F.array().cast("array<int>").alias("parents"))
+    no_run = F.array().cast("array<int>")
+    nothing = F.struct(
+        F.array_repeat(F.lit(-1), _LEVELS).alias("last"), F.array().cast("array<array<int>>").alias("runs"), no_run.alias("run")
+    )
 
     def step(acc: Column, line: Column) -> Column:
-        here = F.size(acc["parents"])
+        here = F.size(acc["runs"]) * _RUN + F.size(acc["run"])
         parent = F.coalesce(F.array_max(F.slice(acc["last"], F.lit(1), line["level"])), F.lit(-1))
         last = F.transform(acc["last"], lambda v, k: F.when(k == line["level"], here).otherwise(v))
-        return F.struct(last.alias("last"), F.concat(acc["parents"], F.array(parent)).alias("parents"))
+        return let(
+            F.concat(acc["run"], F.array(parent)),
+            lambda run: F.when(
+                F.size(run) < _RUN, F.struct(last.alias("last"), acc["runs"].alias("runs"), run.alias("run"))
+            ).otherwise(F.struct(last.alias("last"), F.concat(acc["runs"], F.array(run)).alias("runs"), no_run.alias("run"))),
+        )
 
-    walked = kept.withColumn("parents", F.aggregate("good", nothing, step, lambda acc: acc["parents"]))
+    parents = F.aggregate("good", nothing, step, lambda acc: F.concat(F.flatten(acc["runs"]), acc["run"]))
+    walked = kept.withColumn("parents", parents)
     # Zipped, not looked up by position: a lookup inside the lambda would walk the record once per line.
     lines = F.transform(
         F.arrays_zip("good", "parents"),
