@@ -45,7 +45,7 @@ BAD_LEVEL, NO_TAG, BARE_POINTER = "nivell no numèric", "falta el tag", "punter
 RECORD_SEPARATOR = "\n0 "
 _LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 _LEVELS = 10
-# Lines whose parents are gathered before the run is closed.
+# Lines in a run of the walk through a record.
 _RUN = 256
 
 
@@ -132,9 +132,9 @@ def parse_records(records: DataFrame) -> DataFrame:
 
     The parent of a line is the nearest line before it with a smaller level.
     Walking the lines once, the last line of each of the ten levels is kept;
-    the parent is the latest of those below the own level. Parents are gathered
-    in runs, as every step copies what has been gathered in the present run
-    only.
+    the parent is the latest of those below the own level. The walk goes in
+    runs: a step copies what it has gathered, so what is gathered starts anew
+    with each run.
     """
     split = records.select("path", "block", "rec", "head", F.split("text", _LINE_BREAKS).alias("raws"))
     read = F.filter(F.transform("raws", _read_line), lambda x: strip(x["raw"]) != "")
@@ -144,24 +144,26 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.filter("read", lambda x: x["reason"].isNull()).alias("good"),
         F.filter("read", lambda x: x["reason"].isNotNull()).alias("rejected"),
     )
-    no_run = F.array().cast("array<int>")
-    nothing = F.struct(
-        F.array_repeat(F.lit(-1), _LEVELS).alias("last"), F.array().cast("array<array<int>>").alias("runs"), no_run.alias("run")
+    no_parents = F.array().cast("array<int>")
+    nothing = F.struct(F.array_repeat(F.lit(-1), _LEVELS).alias("last"), no_parents.alias("parents"))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size("good") / _RUN) - 1, F.lit(0)).cast("int")),
+        lambda i: F.slice("good", i * _RUN + 1, F.lit(_RUN)),
     )
 
-    def step(acc: Column, line: Column) -> Column:
-        here = F.size(acc["runs"]) * _RUN + F.size(acc["run"])
-        parent = F.coalesce(F.array_max(F.slice(acc["last"], F.lit(1), line["level"])), F.lit(-1))
-        last = F.transform(acc["last"], lambda v, k: F.when(k == line["level"], here).otherwise(v))
+    def walk(before: Column, run: Column) -> Column:
+        def step(acc: Column, line: Column) -> Column:
+            here = F.size(before["parents"]) + F.size(acc["parents"])
+            parent = F.coalesce(F.array_max(F.slice(acc["last"], F.lit(1), line["level"])), F.lit(-1))
+            last = F.transform(acc["last"], lambda v, k: F.when(k == line["level"], here).otherwise(v))
+            return F.struct(last.alias("last"), F.concat(acc["parents"], F.array(parent)).alias("parents"))
+
+        own = F.aggregate(run, F.struct(before["last"].alias("last"), no_parents.alias("parents")), step)
         return let(
-            F.concat(acc["run"], F.array(parent)),
-            lambda run: F.when(
-                F.size(run) < _RUN, F.struct(last.alias("last"), acc["runs"].alias("runs"), run.alias("run"))
-            ).otherwise(F.struct(last.alias("last"), F.concat(acc["runs"], F.array(run)).alias("runs"), no_run.alias("run"))),
+            own, lambda x: F.struct(x["last"].alias("last"), F.concat(before["parents"], x["parents"]).alias("parents"))
         )
 
-    parents = F.aggregate("good", nothing, step, lambda acc: F.concat(F.flatten(acc["runs"]), acc["run"]))
-    walked = kept.withColumn("parents", parents)
+    walked = kept.withColumn("parents", F.aggregate(runs, nothing, walk, lambda acc: acc["parents"]))
     # Zipped, not looked up by position: a lookup inside the lambda would walk the record once per line.
     lines = F.transform(
         F.arrays_zip("good", "parents"),
@@ -339,17 +341,36 @@ def family_children(roots: DataFrame) -> DataFrame:
     return rows.select("family_xref", _bare(F.col("c.value")).alias("child_xref"), (F.col("p") + 1).alias("sibling_order"), "seq")
 
 
+def _event_bodies() -> Column:
+    """Each event line of the root with the lines below it, ``(e, body)``.
+
+    These reach to the next line below the root itself, so an event looks at
+    its own lines only, and only they travel with it.
+    """
+    lines, root = F.col("lines"), F.col("root.idx")
+    tops = F.filter(lines, lambda x: (x["parent"] == root) | ((x["parent"] < 0) & (x["idx"] > root)))
+    starts = F.transform(tops, lambda x: x["idx"])
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(tops), F.lit(1))), F.array(F.size(lines)))
+    pairs = F.arrays_zip(tops.alias("e"), ends.alias("end"))
+    told = F.filter(pairs, lambda z: (z["e"]["parent"] == root) & z["e"]["tag"].isin(*EVENT_TYPES))
+    return F.transform(
+        told,
+        lambda z: F.struct(
+            z["e"].alias("e"), F.slice("lines", z["e"]["idx"] + 2, z["end"] - z["e"]["idx"] - 1).alias("body")
+        ),
+    )
+
+
 def events(roots: DataFrame) -> DataFrame:
     """Life events of persons and families: type, first date and place, inline notes."""
-    lines = F.col("lines")
     owners = roots.where(F.col("tag").isin("INDI", "FAM"))
     rows = owners.select(
         F.col("xref").alias("owner_xref"),
         F.when(F.col("tag") == "INDI", F.lit("person")).otherwise(F.lit("family")).alias("owner_kind"),
-        "seq", "lines",
-        F.posexplode(_kids(*EVENT_TYPES)).alias("position", "e"),
-    )
-    idx = F.col("e.idx")
+        "seq",
+        F.posexplode(_event_bodies()).alias("position", "x"),
+    ).select("owner_xref", "owner_kind", "seq", "position", "x.*")
+    lines, idx = F.col("body"), F.col("e.idx")
     first = lambda tag: let(
         _first(_children(lines, idx, tag)), lambda n: F.nullif(_folded(lines, n), F.lit(""))
     )
@@ -424,13 +445,18 @@ def links(roots: DataFrame) -> DataFrame:
 
 
 def event_links(roots: DataFrame) -> DataFrame:
-    """``(seq, owner_xref, position, tag, target)`` of the source and media pointers of events."""
-    lines = F.col("lines")
+    """``(owner_xref, position, tag, target)`` of the source and media pointers of events."""
+    return placed_event_links(roots).drop("seq")
+
+
+def placed_event_links(roots: DataFrame) -> DataFrame:
+    """The same with ``seq``, the place of the event's record."""
     rows = roots.where(F.col("tag").isin("INDI", "FAM")).select(
-        "seq", F.col("xref").alias("owner_xref"), "lines", F.posexplode(_kids(*EVENT_TYPES)).alias("position", "e")
+        "seq", F.col("xref").alias("owner_xref"), F.posexplode(_event_bodies()).alias("position", "x")
     )
+    pointed = _children(F.col("x.body"), F.col("x.e.idx"), "SOUR", "OBJE")
     found = rows.select(
-        "seq", "owner_xref", (F.col("position") + 1).alias("position"), F.explode(_children(lines, F.col("e.idx"), "SOUR", "OBJE")).alias("x")
+        "seq", "owner_xref", (F.col("position") + 1).alias("position"), F.explode(pointed).alias("x")
     )
     return found.where(_is_pointer(F.col("x.value"))).select(
         "seq", "owner_xref", "position", F.col("x.tag").alias("tag"), _bare(F.col("x.value")).alias("target")

@@ -131,3 +131,28 @@ def test_parsing_needs_no_shuffle(spark, tmp_path):
     for table in (gedcom.persons, gedcom.events, gedcom.links, gedcom.family_children):
         plan = table(roots)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_long_records_are_walked_in_runs(spark):
+    levels = [1 + (i * 7) % 5 for i in range(1000)]
+    text = "0 HEAD\n0 @N1@ NOTE x\n" + "\n".join(f"{k} T{i} v" for i, k in enumerate(levels))
+    df = spark.createDataFrame([("a", text)], "path string, text string")
+    lines = {r.line_no: (r.level, r.parent_line) for r in gedcom.line_table(gedcom.parse_records(gedcom.records_from_text(df))).collect()}
+    known = [(2, 0)] + [(i + 3, k) for i, k in enumerate(levels)]
+    for at, (number, level) in enumerate(known):
+        before = [n for n, k in known[:at] if k < level]
+        assert lines[number] == (level, before[-1] if before else None)
+
+
+def test_events_keep_to_their_own_lines(spark):
+    text = (
+        "0 HEAD\n0 @I1@ INDI\n2 BIRT\n3 DATE 1900\n2 DEAT\n1 BURI\n2 PLAC A\n3 CONC b\n2 PLAC z\n2 SOUR @S1@\n1 NAME x\n2 DATE no\n"
+        "1 RESI\n1 CENS\n2 NOTE n\n2 NOTE @N1@\n2 DATE d\n2 OBJE @O1@\n0 TRLR"
+    )
+    df = spark.createDataFrame([("a", text)], "path string, text string")
+    roots = gedcom.entities(gedcom.parse_records(gedcom.records_from_text(df)))
+    rows = [(r.event_type, r.date_text, r.place, r.notes) for r in gedcom.events(roots).orderBy("seq").collect()]
+    assert rows == [
+        ("birth", "1900", None, []), ("death", None, None, []), ("burial", None, "Ab", []), ("residence", None, None, []), ("census", "d", None, ["n"])
+    ]
+    assert {(r.position, r.tag, r.target) for r in gedcom.event_links(roots).collect()} == {(3, "SOUR", "S1"), (5, "OBJE", "O1")}
