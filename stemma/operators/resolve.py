@@ -49,11 +49,12 @@ def place_dimension(spellings: DataFrame, existing: DataFrame | None = None) ->
     """One row per place key with its first-seen spelling.
 
     ``spellings`` holds ``(place, seq)``. A stored place of the same name is
-    reused: ``existing_id`` is then its id.
+    reused: ``existing_id`` is then its id. Spellings are counted down to the
+    distinct ones before any key is made, so a frequent place is neither
+    sorted nor shuffled row by row.
     """
-    keyed = spellings.select(place_key(F.col("place")).alias("place_key"), "place", "seq").where(
-        "place_key is not null"
-    )
+    distinct = spellings.where("place is not null").groupBy("place").agg(F.min("seq").alias("seq"))
+    keyed = distinct.select(place_key(F.col("place")).alias("place_key"), "place", "seq").where("place_key is not null")
     firsts = keyed.groupBy("place_key").agg(
         F.min_by("place", "seq").alias("name"), F.min("seq").alias("first_seq")
     )

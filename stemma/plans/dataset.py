@@ -86,8 +86,10 @@ def from_fixtures(spark: SparkSession, sf_dir: str) -> Dataset:
     )
     children = resolve.parent_child_rows(fixtures.family_child_records(spark, sf_dir), persons, families)
     life = fixtures.life_events(spark, sf_dir)
-    places = resolve.place_dimension(life.select("place", F.col("event_id").alias("seq")))
-    events = resolve.event_rows(life.withColumn("family_id", F.lit(None).cast("bigint")), places)
+    # Written once: the size of the places is then known, so they are broadcast if they are few, else the join can
+    # be split at a frequent place; and some twenty jobs read the events.
+    places = cut_lineage(resolve.place_dimension(life.select("place", F.col("event_id").alias("seq"))))
+    events = cut_lineage(resolve.event_rows(life.withColumn("family_id", F.lit(None).cast("bigint")), places))
     mapping = resolve.source_map(fixtures.source_records(spark, sf_dir))
     bridge = resolve.link_rows(
         fixtures.person_links(spark, sf_dir),

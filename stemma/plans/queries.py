@@ -29,7 +29,7 @@ from stemma.operators.pair_rules import CustomRule, Settings
 from stemma.plans import fixtures, imports
 from stemma.plans.dataset import Dataset, from_fixtures
 from stemma.plans.rendering import write_gedcom
-from stemma.session import cut_lineage, shared_dir
+from stemma.session import cut_lineage, staging_dir
 from stemma.sources import gedcom, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +175,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     records = gedcom.read_records(spark, write_gedcom(spark, sf_dir))
     tag = F.regexp_extract("text", "^0 (?:@[^@]*@ )?([A-Z]+)", 1)
-    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
     again = records.where((tag == "INDI") & F.col("text").rlike("^0 @I[0-9]*0@"))
     families = records.where(tag == "FAM").withColumn("text", F.concat("text", F.lit("\nno level")))
     # A part of a file counts as a file with its head.

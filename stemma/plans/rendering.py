@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.plans import fixtures
-from stemma.session import shared_dir
+from stemma.session import staging_dir
 
 # Tags of the event types that occur in the derived data.
 EVENT_TAGS = {"birth": "BIRT", "death": "DEAT", "marriage": "MARR", "residence": "RESI", "baptism": "BAPM"}
@@ -103,7 +103,7 @@ def write_gedcom(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         name = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
-        path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/gedcom-{name}"
+        path = f"{staging_dir(spark)}/gedcom-{name}"
         # One header record, whatever the number of files.
         texts = spark.range(1).select(F.lit("0 HEAD\n1 CHAR UTF-8").alias("text"))
         for more in (person_texts, family_texts, other_texts):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +49,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Used where a result feeds several later joins, so that neither a lost
     executor nor a second consumer makes Spark compute it again. The written
     table also has a known size, so the planner broadcasts it only when it is
-    small enough.
+    small enough. The tables of an application are deleted when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staging_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    _delete_at_end(path)
+    return path
+
+
+@cache
+def _delete_at_end(path: str) -> None:
+    context = SparkSession.active().sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
