@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stemma.llm.html_blocks import LANDMARKS, PHRASES, Block, leaf_blocks
 from stemma.llm.html_pages import MAIN, REST, labelled_pages
+from stemma.llm.tables import whole_row
 
 #: Labelled pages that the field is trained on, and steps of the training.
 TRAIN_PAGES = 600
@@ -181,7 +182,7 @@ def extract_main_text(
     """
     model = field or train_field(labelled_pages(train_pages))
     source = pages.select(
-        F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"),
+        whole_row(pages),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
     )
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.labelled import TRAIN_ROWS, label_sample, labelled_texts
-from stemma.llm.tables import text_or_empty
+from stemma.llm.tables import text_or_empty, whole_row
 from stemma.session import cut_lineage
 
 SIGN = re.compile(r"[^\w\s]")
@@ -119,7 +119,7 @@ class SiteModel:
 
 def _evidence(docs: DataFrame, classifier: LogisticRegressionModel | None, base: float, text_col: str) -> DataFrame:
     """(row, p): the classifier's probability that the row's text is good."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(whole_row(docs), text_or_empty(text_col).alias("text"))
     if classifier is None:
         return rows.select("row", F.lit(base).alias("p"))
     dense = rows.select("row", array_to_vector(feature_column(F.col("text"))).alias("features"))
@@ -198,9 +198,12 @@ def quality_scores(
         _evidence(docs, model.classifier, base, text_col)
         .withColumns({"_host": _site(host_col), "_path": _site(path_col)})
         .join(sites.withColumnRenamed("good", "_good"), ["_host", "_path"], "left")
+        .withColumn("_id", F.col("row.doc_id"))
+        .join(F.broadcast(label_sample(labels, "quality", rows).withColumnRenamed("doc_id", "_id")), "_id", "left")
     )
-    # The document itself is taken out of its path before the path speaks for it.
-    others = F.greatest(F.col("_good") - F.col("p"), F.lit(0.0)) + F.col("host_rate") * model.path_strength
+    # What the document itself added is taken out of its path before the path speaks for it.
+    added = F.coalesce("label", "p")
+    others = F.greatest(F.col("_good") - added, F.lit(0.0)) + F.col("host_rate") * model.path_strength
     path_rate = F.least(others / (F.greatest(F.col("n") - 1, F.lit(0)) + model.path_strength), F.lit(1.0))
     odds = _logit(F.col("p")) - math.log(base / (1 - base)) + _logit(F.col("path_rate"))
     return (

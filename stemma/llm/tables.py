@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that no name of theirs meets another."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -25,12 +30,9 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     The text moves through one shuffle, keyed by the id and the hash, so no
     key gathers more than the repeated rows of one document.
     """
-    columns = docs.columns
-    marked = docs.withColumn("_sha", F.sha2(text_or_empty(text_col).cast("binary"), 256)).withColumn(
-        "_key", F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    )
-    wanted = kept.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), F.col("row_sha256").alias("_sha")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    marked = docs.select(
+        whole_row(docs), named(id_col).alias("key"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("sha")
     )
-    chosen = marked.join(wanted, ["_key", "_sha"], "left_semi")
-    return chosen.dropDuplicates(["_key", "_sha"]).select(*columns)
+    wanted = kept.select(named("doc_id").alias("key"), F.col("row_sha256").alias("sha"))
+    return marked.join(wanted, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"]).select("row.*")

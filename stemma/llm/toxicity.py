@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.labelled import TRAIN_ROWS, labelled_texts
-from stemma.llm.tables import text_or_empty
+from stemma.llm.tables import text_or_empty, whole_row
 from stemma.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -168,7 +168,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """(row, score): ``row`` is the whole input row as a struct, ``score`` from 0 to 1."""
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
+        rows = docs.select(whole_row(docs), text_or_empty(text_col).alias("text"))
         if self.trees is None:
             return rows.select("row", F.lit(self.base_rate).alias("score"))
         dense = array_to_vector(feature_column(F.col("text"), self.lexicon))

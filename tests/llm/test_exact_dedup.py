@@ -55,7 +55,7 @@ def test_repeated_rows_keep_one_and_empty_table(spark):
 
 def test_keep_rows_with_null_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame(
-        [(None, "a", 1), (None, "b", 2), (3, None, 3), (3, None, 4)], "doc_id long, text string, row_sha256 int"
+        [(None, "a", 1), (None, "b", 2), (3, None, 3), (3, None, 4)], "doc_id long, text string, key int"
     )
     kept = exact_dedup(docs).where("kept")
     rows = keep_rows(docs, kept).collect()
