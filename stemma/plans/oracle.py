@@ -1124,6 +1124,28 @@ oracle(
     "person_sources", "person_sources source_map",
     "SELECT person_id, source_xref, m.title, m.author FROM person_sources JOIN (SELECT * FROM source_map WHERE xref = source_xref) m USING (source_xref)",
 )
+_BOLT = "(SELECT person_id FROM people WHERE surname = 'BOLT')"
+_AT = "row_number() OVER (PARTITION BY {0} ORDER BY {1})::INT - 1 AS at"
+oracle(
+    "person_detail_content", "people families parent_children spouse_edges parent_edges events person_sources source_map",
+    f"""SELECT c.child_id AS person_id, 'parents' AS part, {_AT.format('c.child_id', 'c.family_id, f.role')},
+  concat_ws('|', c.family_id, f.role, f.pid, coalesce(p.display_name, '')) AS entry
+FROM (SELECT DISTINCT child_id, family_id FROM parent_children) c
+JOIN (SELECT family_id, 'father' AS role, father_id AS pid FROM families UNION ALL SELECT family_id, 'mother', mother_id FROM families) f ON f.family_id = c.family_id
+JOIN people p ON p.person_id = f.pid WHERE c.child_id IN {_BOLT}
+UNION ALL SELECT s.person_id, 'spouses', {_AT.format('s.person_id', 's.family_id')}, concat_ws('|', s.family_id, coalesce(s.other::VARCHAR, ''), s.name)
+FROM (SELECT e.person_id, e.family_id, o.other, coalesce(p.display_name, '') AS name
+  FROM spouse_edges e JOIN (SELECT family_id, father_id AS own, mother_id AS other FROM families UNION ALL SELECT family_id, mother_id, father_id FROM families) o
+    ON o.family_id = e.family_id AND o.own = e.person_id
+  LEFT JOIN people p ON p.person_id = o.other WHERE e.person_id IN {_BOLT}) s
+UNION ALL SELECT e.person_id, 'children', {_AT.format('e.person_id', 'coalesce(p.birth_year, 2147483647), p.display_name, e.child_id')},
+  concat_ws('|', e.child_id, coalesce(p.display_name, ''), coalesce(p.birth_year::VARCHAR, ''))
+FROM parent_edges e JOIN people p ON p.person_id = e.child_id WHERE e.person_id IN {_BOLT}
+UNION ALL SELECT person_id, 'timeline', {_AT.format('person_id', 'coalesce(date_year, 2147483647), event_id')},
+  concat_ws('|', event_id, event_type, coalesce(date_text, ''), coalesce(place_key, ''), coalesce(place, '')) FROM events WHERE person_id IN {_BOLT}
+UNION ALL SELECT s.person_id, 'sources', {_AT.format('s.person_id', 'm.title')}, concat_ws('|', m.title, coalesce(m.author, ''))
+FROM person_sources s JOIN (SELECT * FROM source_map WHERE xref = source_xref) m ON m.xref = s.source_xref WHERE s.person_id IN {_BOLT}""",
+)
 oracle(
     "person_detail", "people parent_children families spouse_edges parent_edges events candidates tasks person_sources source_map scores",
     """SELECT p.person_id, p.display_name,

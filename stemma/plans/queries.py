@@ -1116,6 +1116,34 @@ def _(ds: Dataset) -> DataFrame:
     )
 
 
+@on_dataset("person_detail_content")
+def _(ds: Dataset) -> DataFrame:
+    """What the nested lists of a person's detail hold, one row per entry, in their order."""
+    wanted = ds.enriched.where("surname = 'BOLT'").select("person_id")
+    rows = relations.person_details(
+        ds.enriched, ds.families, ds.parent_children, ds.events, ds.person_sources, ds.sources, wanted
+    )
+    shown = {
+        "parents": ("family_id", "role", "parent_person_id", "parent_display_name"),
+        "spouses": ("family_id", "spouse_person_id", "spouse_display_name"),
+        "children": ("child_person_id", "child_display_name", "child_birth_year"),
+        "timeline": ("event_id", "event_type", "date_text", "place_key", "place"),
+        "sources": ("title", "author"),
+    }
+    parts = []
+    for name, fields in shown.items():
+        entry = F.array_join(F.array(*[F.coalesce(F.col("e")[f].cast("string"), F.lit("")) for f in fields]), "|")
+        parts.append(
+            rows.select("person_id", F.posexplode(name).alias("at", "e")).select(
+                "person_id", F.lit(name).alias("part"), "at", entry.alias("entry")
+            )
+        )
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @on_dataset("family_list")
 def _(ds: Dataset) -> DataFrame:
     shown = relations.list_families(ds.families, ds.enriched, limit=50, offset=20)
