@@ -38,6 +38,8 @@ SEARCH, POWER = 24.0, 0.68
 PACK = 256
 #: Rows of a leaf from which its packs are gathered by several tasks.
 SLICE_ROWS = 8192
+#: Scored pairs that a task gathers before it merges them.
+HELD = 1 << 20
 SEED = 42
 
 
@@ -169,10 +171,32 @@ def _packed(rows: DataFrame, dim: int, expected: float) -> DataFrame:
     )
 
 
+def _best(found: list[tuple[np.ndarray, ...]], keep: int) -> tuple[np.ndarray, ...]:
+    """Of (query, point, score) rows, each query's ``keep`` best points, once each, and those that tie with the last."""
+    query, point, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((point, -score, query))
+    query, point, score = query[order], point[order], score[order]
+    # A pair has the same score wherever it is computed, so its repeats stand together.
+    new = np.concatenate([[True], (query[1:] != query[:-1]) | (point[1:] != point[:-1])])
+    query, point, score = query[new], point[new], score[new]
+    _, first, number = np.unique(query, return_index=True, return_counts=True)
+    last = np.repeat(score[first + np.minimum(number, keep) - 1], number)
+    return query[score >= last], point[score >= last], score[score >= last]
+
+
 def _compared(pairs: DataFrame, dim: int, keep: int) -> DataFrame:
-    """(query, point, score): of two packs, each query's ``keep`` best points with exact scores."""
+    """(query, point, score): each query's ``keep`` best points among the packs of a task, with exact scores.
+
+    A task merges what its packs give before anything is shuffled; it passes
+    its rows on early where they are more than HELD after merging.
+    """
+
+    def batch_of(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["query", "point", "score"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        held = merged = 0
         for batch in batches:
             columns = [batch.column(c) for c in ("queries", "query_vectors", "points", "vectors")]
             for row in range(batch.num_rows):
@@ -186,10 +210,16 @@ def _compared(pairs: DataFrame, dim: int, keep: int) -> DataFrame:
                     at, best = np.nonzero(near >= (last - 1e-9 * (1 + np.abs(last)))[:, None])
                 else:
                     at, best = np.nonzero(np.ones_like(near, bool))
-                score = (q[at] * v[best]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries[at]), pa.array(points[best]), pa.array(score)], ["query", "point", "score"]
-                )
+                found.append((queries[at], points[best], (q[at] * v[best]).sum(axis=1)))
+                held += len(at)
+                if held >= merged + HELD:
+                    found = [_best(found, keep)]
+                    held = merged = len(found[0][0])
+                    if held >= HELD:
+                        yield batch_of(found[0])
+                        found, held, merged = [], 0, 0
+        if found:
+            yield batch_of(_best(found, keep))
 
     return pairs.mapInArrow(compare, "query long, point long, score double")
 
