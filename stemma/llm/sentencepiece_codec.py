@@ -37,7 +37,7 @@ SPACE = "▁"
 LITERAL = "\ud800"
 #: Fixed value: how much less than the lowest score an unknown character has.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 LONGEST_WORD = 64
 
 _workers: dict[str, Codec] = {}
@@ -77,15 +77,15 @@ class Stream:
         start, text, scores, back = self.scores[i], self.text, self.scores, self.back
         node, single = self.codec.trie, False
         for j in range(i, min(len(text), i + self.codec.longest)):
-            node = node.get(text[j])
-            if node is None:
+            found = node.get(text[j])
+            if found is None:
                 break
-            piece = node.get("")
+            node, piece, own = found
             if piece is not None:
                 single = single or j == i
-                score = start + piece[1]
+                score = start + own
                 if scores[j + 1] is None or score > scores[j + 1]:
-                    scores[j + 1], back[j + 1] = score, (i, piece[0])
+                    scores[j + 1], back[j + 1] = score, (i, piece)
         if not single:
             score = start + self.codec.unknown
             if scores[i + 1] is None or score > scores[i + 1]:
@@ -117,6 +117,7 @@ class Codec:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.model = model
+        #: By character: (further characters, id of the piece that ends here or None, its score).
         self.trie: dict = {}
         self.bytes: dict[int, int] = {}
         self.shown: list[bytes] = []
@@ -132,22 +133,26 @@ class Codec:
             if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.shown[-1] = b""
                 continue
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            score = model.get_score(i)
-            node[""] = (i, score)
+            node, score = self.trie, model.get_score(i)
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, None, 0.0))[0]
+            further = node[piece[-1]][0] if piece[-1] in node else {}
+            node[piece[-1]] = (further, i, score)
             lowest = min(lowest, score)
             self.longest = max(self.longest, len(piece))
-            pairs.update(zip(piece, piece[1:]))
+            pairs.update(map("".join, zip(piece, piece[1:])))
+        #: Neighbours within a piece. Between any others every path has a boundary.
+        self.pairs = frozenset(pairs)
         self.unknown = lowest - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
         #: No piece has a space sign after another one: every path has a boundary before each word.
-        self.by_word = not any(b == SPACE and a != SPACE for a, b in pairs)
+        self.by_word = not any(b == SPACE and a != SPACE for a, b in pairs) and "\n" not in self.trie
         probe = "a  b\nc\tÅ "
         self.plain = model.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def path(self, text: str, back: list, first: int, last: int) -> list[int]:
         """The ids between two boundaries."""
@@ -174,10 +179,49 @@ class Codec:
             yield from search.push(chunk)
         yield from search.push("", last=True)
 
+    def _search(self, part: str) -> bytes:
+        """The ids of a part: of a long one by a stream, of one within the window without its bookkeeping."""
+        n = len(part)
+        if n > 2 * self.longest:
+            return array("i", self.stream([part])).tobytes()
+        scores, back = [0.0] + [None] * n, [None] * (n + 1)
+        trie, unknown = self.trie, self.unknown
+        for i in range(n):
+            start, node, single = scores[i], trie, False
+            for j in range(i, n):
+                found = node.get(part[j])
+                if found is None:
+                    break
+                node, piece, own = found
+                if piece is not None:
+                    if j == i:
+                        single = True
+                    score, known = start + own, scores[j + 1]
+                    if known is None or score > known:
+                        scores[j + 1], back[j + 1] = score, (i, piece)
+            if not single and (scores[i + 1] is None or start + unknown > scores[i + 1]):
+                scores[i + 1], back[i + 1] = start + unknown, (i, -1)
+        return array("i", self.path(part, back, 0, n)).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.old_parts.get(part)
+        if ids is None:
+            ids = self._search(part)
+        if len(part) <= LONGEST_WORD:
+            if len(self.parts) >= REMEMBERED:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = ids
+        return ids
+
     def _new(self, word: str) -> bytes:
+        """The ids of a word; a sign at its end is a part of its own where there is a sure boundary before it."""
         ids = self.old.get(word)
         if ids is None:
-            ids = array("i", self.stream([word])).tobytes()
+            known = self.parts.get
+            if word[-2:] in self.pairs or len(word) == 1:
+                ids = known(word) or self._part(word)
+            else:
+                ids = (known(word[:-1]) or self._part(word[:-1])) + (known(word[-1]) or self._part(word[-1]))
         if len(word) <= LONGEST_WORD:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
@@ -205,8 +249,8 @@ class Codec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-#: Words with the space signs before them.
-WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Words with the space signs before them; line feeds are no piece and stand alone.
+WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
 def codec(model: str = MODEL) -> Codec:
