@@ -7,6 +7,10 @@ the order of how far they lie beyond the splits on the way in all, until the
 leaves it has opened hold enough vectors. The candidates in these leaves are ranked
 by their exact inner products.
 
+That happens in two steps. The leaf that a query falls into in each tree gives
+a bound, the score of its (k + 1)-th best candidate so far; from the other
+leaves only what reaches the bound is passed on.
+
 Vectors and queries meet in packs: one row holds up to PACK vectors of a leaf,
 another up to PACK queries that opened it, and their join compares two packs
 by one matrix product. Equal vectors are one point of the forest, so a hot
@@ -141,7 +145,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, dim: int, expected: float) -> DataFrame:
-    """Rows (tree, leaf, point, vector) as packs (tree, leaf, points, vectors) of up to PACK rows each.
+    """Rows (tree, leaf, point, vector, bound) as packs (tree, leaf, points, vectors, bounds) of up to PACK rows each.
 
     A leaf of which many more than SLICE_ROWS rows are expected is dealt to several tasks.
     """
@@ -152,7 +156,7 @@ def _packed(rows: DataFrame, dim: int, expected: float) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tree, leaf = (batch.column(c).to_numpy() for c in ("tree", "leaf"))
-            point = batch.column("point").to_numpy()
+            point, bound = batch.column("point").to_numpy(), batch.column("bound").to_numpy()
             matrix = _matrix(batch.column("vector"), dim)
             new = np.concatenate([[0], np.nonzero((np.diff(tree) != 0) | (np.diff(leaf) != 0))[0] + 1, [len(tree)]])
             out = [(a, min(a + PACK, e)) for s, e in zip(new, new[1:]) for a in range(s, e, PACK)]
@@ -162,12 +166,13 @@ def _packed(rows: DataFrame, dim: int, expected: float) -> DataFrame:
                     pa.array([leaf[a] for a, _ in out], pa.int32()),
                     pa.array([point[a:b].astype("<i8").tobytes() for a, b in out], pa.binary()),
                     pa.array([matrix[a:b].astype("<f8").tobytes() for a, b in out], pa.binary()),
+                    pa.array([bound[a:b].astype("<f8").tobytes() for a, b in out], pa.binary()),
                 ],
-                ["tree", "leaf", "points", "vectors"],
+                ["tree", "leaf", "points", "vectors", "bounds"],
             )
 
-    return sorted_rows.select("tree", "leaf", "point", "vector").mapInArrow(
-        pack, "tree int, leaf int, points binary, vectors binary"
+    return sorted_rows.select("tree", "leaf", "point", "vector", "bound").mapInArrow(
+        pack, "tree int, leaf int, points binary, vectors binary, bounds binary"
     )
 
 
@@ -198,18 +203,18 @@ def _compared(pairs: DataFrame, dim: int, keep: int) -> DataFrame:
         found: list[tuple[np.ndarray, ...]] = []
         held = merged = 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("queries", "query_vectors", "points", "vectors")]
+            columns = [batch.column(c) for c in ("queries", "query_vectors", "points", "vectors", "query_bounds")]
             for row in range(batch.num_rows):
                 raw = [c[row].as_py() for c in columns]
                 queries, points = np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[2], "<i8")
                 q, v = (np.frombuffer(x, "<f8").reshape(-1, dim) for x in (raw[1], raw[3]))
-                near = q @ v.T
+                near, last = q @ v.T, np.frombuffer(raw[4], "<f8")
                 if len(points) > keep:
-                    # All that may tie with the last one asked for, whatever the rounding of the product.
-                    last = np.partition(near, -keep, axis=1)[:, -keep]
-                    at, best = np.nonzero(near >= (last - 1e-9 * (1 + np.abs(last)))[:, None])
-                else:
-                    at, best = np.nonzero(np.ones_like(near, bool))
+                    last = np.maximum(last, np.partition(near, -keep, axis=1)[:, -keep])
+                # All that may tie with the last one asked for, whatever the rounding of the product.
+                at, best = np.nonzero(near >= (last - 1e-9 * (1 + np.abs(np.maximum(last, -1e300))))[:, None])
+                if not len(at):
+                    continue
                 found.append((queries[at], points[best], (q[at] * v[best]).sum(axis=1)))
                 held += len(at)
                 if held >= merged + HELD:
@@ -289,27 +294,40 @@ def nearest_neighbours(
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = _matrix(batch.column("vector"), dim)
-            opened = [search_forest(shared.value, v, wanted) for v in matrix]
+            opened = [search_forest(shared.value, v, wanted) for v in _matrix(batch.column("vector"), dim)]
             at = pa.array([i for i, o in enumerate(opened) for _ in o], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([t for o in opened for t, _ in o], pa.int32()),
                     pa.array([n for o in opened for _, n in o], pa.int32()),
                     batch.column("point").take(at),
-                    batch.column("vector").take(at),
+                    # The queue begins with the roots, so the first leaves are the query's own.
+                    pa.array([k < trees for o in opened for k in range(len(o))], pa.bool_()),
                 ],
-                ["tree", "leaf", "point", "vector"],
+                ["tree", "leaf", "point", "own"],
             )
 
-    schema = "tree int, leaf int, point long, vector array<double>"
-    index = _packed(points.select("point", "vector").mapInArrow(leaves, schema), dim, leaf)
-    asked = points.where("query").select("point", "vector").mapInArrow(probes, schema)
-    asked = _packed(asked, dim, asking * held / max(count, 1)).withColumnsRenamed(
-        {"points": "queries", "vectors": "query_vectors"}
+    no_bound = F.lit(float("-inf")).alias("bound")
+    leaf_rows = points.select("point", "vector").mapInArrow(leaves, "tree int, leaf int, point long, vector array<double>")
+    index = cut_lineage(_packed(leaf_rows.select("*", no_bound), dim, leaf).drop("bounds"))
+    asking_points = points.where("query").select("point", "vector")
+    opened = cut_lineage(asking_points.mapInArrow(probes, "tree int, leaf int, point long, own boolean"))
+
+    def compared(asked: DataFrame) -> DataFrame:
+        packs = _packed(asked, dim, asking * held / max(count, 1)).withColumnsRenamed(
+            {"points": "queries", "vectors": "query_vectors", "bounds": "query_bounds"}
+        )
+        found = _compared(cut_lineage(packs).join(index, ["tree", "leaf"]), dim, k + 1)
+        return cut_lineage(found.groupBy("query", "point").agg(F.max("score").alias("score")))
+
+    near_first = compared(opened.where("own").drop("own").join(asking_points.select("*", no_bound), "point"))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))
+    bounds = near_first.withColumn("n", place).where(F.col("n") == k + 1).select(F.col("query").alias("point"), "score")
+    bounded = asking_points.join(bounds, "point", "left").select(
+        "point", "vector", F.coalesce("score", F.lit(float("-inf"))).alias("bound")
     )
-    pairs = cut_lineage(asked).join(cut_lineage(index), ["tree", "leaf"])
-    scored = _compared(pairs, dim, k + 1).groupBy("query", "point").agg(F.max("score").alias("score"))
+    rest = compared(opened.where("not own").drop("own").join(bounded, "point"))
+    scored = near_first.unionByName(rest).groupBy("query", "point").agg(F.max("score").alias("score"))
 
     # k + 1 points hold at least k ids besides the query's own; points that tie with the last stay until ids decide.
     near = scored.withColumn("n", F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k + 1)
