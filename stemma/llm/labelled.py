@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most labelled rows that a classifier is fitted on; the bound of every broadcast of labels.
+#: The most labelled rows that a classifier is fitted on; the bound of every forced broadcast of labels.
 TRAIN_ROWS = 100_000
 
 
@@ -14,8 +14,8 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def label_sample(labels: DataFrame, column: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, label) outside the held-out fold, at most about ``rows`` of them, chosen by a hash of the id.
+def label_sample(labels: DataFrame, column: str, rows: int | None = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, label) outside the held-out fold, at most about ``rows`` of them, chosen by a hash of the id, or all if None.
 
     Null ids and labels are left out. An id with several labels gets their majority, 1 on a tie.
     """
@@ -24,6 +24,8 @@ def label_sample(labels: DataFrame, column: str, rows: int = TRAIN_ROWS) -> Data
         .groupBy("doc_id")
         .agg((F.avg(column) >= 0.5).cast("double").alias("label"))
     )
+    if rows is None:
+        return kept
     found = kept.count()
     if found > rows:
         kept = kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * rows // found)

@@ -130,6 +130,11 @@ def _site(column: str) -> Column:
     return F.coalesce(F.col(f"row.`{column}`").cast("string"), F.lit(""))
 
 
+def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of their ``_id``: all labels outside the held-out fold, not the classifier's sample."""
+    return rows.join(label_sample(labels, "quality", None).withColumnRenamed("doc_id", "_id"), "_id", "left")
+
+
 def fit_sites(
     docs: DataFrame,
     labels: DataFrame,
@@ -138,7 +143,7 @@ def fit_sites(
     path_col: str = "lang",
     rows: int = TRAIN_ROWS,
 ) -> SiteModel:
-    """Fit the classifier on at most ``rows`` labelled documents, and gather sites over all documents."""
+    """Fit the classifier on at most ``rows`` labelled documents, and gather sites over all documents and labels."""
     train = cut_lineage(
         labelled_texts(docs, labels, "quality", text_or_empty(text_col), rows)
         .select("label", feature_column(F.col("text")).alias("f"))
@@ -149,13 +154,10 @@ def fit_sites(
     if seen.get(0.0) and seen.get(1.0):
         dense = train.select("label", array_to_vector("f").alias("features"))
         classifier = LogisticRegression(regParam=1e-4, maxIter=50).fit(dense)
-    known = label_sample(labels, "quality", rows).withColumnRenamed("doc_id", "_id")
-    scored = (
-        _evidence(docs, classifier, base, text_col)
-        .select(F.col("row.doc_id").alias("_id"), _site(host_col).alias("host"), _site(path_col).alias("path"), "p")
-        .join(F.broadcast(known), "_id", "left")  # at most ``rows`` rows of two numbers
-        .select("host", "path", F.coalesce("label", "p").alias("q"))
+    scored = _evidence(docs, classifier, base, text_col).select(
+        F.col("row.doc_id").alias("_id"), _site(host_col).alias("host"), _site(path_col).alias("path"), "p"
     )
+    scored = _with_labels(scored, labels).select("host", "path", F.coalesce("label", "p").alias("q"))
     paths = cut_lineage(scored.groupBy("host", "path").agg(F.sum("q").alias("good"), F.count(F.lit(1)).alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
     whole = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
@@ -199,8 +201,8 @@ def quality_scores(
         .withColumns({"_host": _site(host_col), "_path": _site(path_col)})
         .join(sites.withColumnRenamed("good", "_good"), ["_host", "_path"], "left")
         .withColumn("_id", F.col("row.doc_id"))
-        .join(F.broadcast(label_sample(labels, "quality", rows).withColumnRenamed("doc_id", "_id")), "_id", "left")
     )
+    scored = _with_labels(scored, labels)
     # What the document itself added is taken out of its path before the path speaks for it.
     added = F.coalesce("label", "p")
     others = F.greatest(F.col("_good") - added, F.lit(0.0)) + F.col("host_rate") * model.path_strength

@@ -112,3 +112,19 @@ def test_sparse_sites_shrink_towards_what_is_above(spark, monkeypatch):
     assert rate["big"] == pytest.approx((200 + k * 203 / 353) / (200 + k))
     assert rate["bad"] < 0.1 < rate["few"] < rate["big"]
     assert abs(rate["few"] - 203 / 353) < abs(1 - 203 / 353)
+
+
+def test_sites_count_all_labels_beyond_the_sample_of_the_fit(spark):
+    """Texts that tell nothing, hosts that tell all: the labels of 20 rows fit the classifier, all others count too."""
+    docs = [(i, f"river letter {i}", "en", "bad" if i % 2 else "fine") for i in range(1000, 1600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], 1 - r[0] % 2) for r in docs], "doc_id long, quality int")
+    model = fit_sites(frame, labels, rows=20)
+    held = [i for i, *_ in docs if zlib.crc32(str(i).encode()) % 3 == 1]
+    scored = quality_scores(frame, labels, rows=20).select("row.doc_id", "row.source", "document_score", "good").collect()
+    p = {r.doc_id: r.document_score for r in scored}
+    assert 0.2 < min(p.values()) and max(p.values()) < 0.8
+    good = {r.host: r.good for r in model.paths.collect()}
+    assert good["bad"] == pytest.approx(sum(p[i] for i in held if i % 2))
+    assert good["fine"] == pytest.approx(300 - sum(1 - p[i] for i in held if not i % 2))
+    assert {(r.source, r.good) for r in scored} == {("bad", False), ("fine", True)}
