@@ -6,10 +6,16 @@ import html
 import re
 from dataclasses import dataclass
 
-#: Comments, declarations, tags with quoted attributes, text.
+#: Comments, declarations, tags with attributes, text. A quote opens a value right after "=" only, and only if it is closed.
+_TOKEN = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z]{}>?|[^<]++|<"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>?|[^<]++|<", re.S
+    _TOKEN.format(
+        r"[^\s/>]*+(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
+    ),
+    re.S,
 )
+#: The same, where a tag ends at its first ">" whatever its quotes.
+PLAIN = re.compile(_TOKEN.format("[^>]*+"), re.S)
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|type)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -99,6 +105,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
     Parsing is lenient: unknown end tags are skipped, ``p`` and list items end
     where the next begins, and a tag cut off by the end of the page is dropped.
+    A tag whose quotes hide every end ends at its first ">", and so do the
+    tags after it.
     """
     path: list[Element] = []
     blocks: list[Block] = []
@@ -115,8 +123,9 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = 0
 
     at = 0
+    tokens = TOKEN
     while at < len(page):
-        token = TOKEN.match(page, at)
+        token = tokens.match(page, at)
         piece, at = token.group(), token.end()
         if piece[0] != "<" or piece == "<":
             piece = html.unescape(piece)
@@ -128,7 +137,10 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if piece[-1] != ">":
-            break
+            if tokens is PLAIN:
+                break
+            tokens, at = PLAIN, token.start()
+            continue
         name, closing = tag.group(1).lower(), piece[1] == "/"
         if name in HIDDEN:
             if not closing and piece[-2] != "/":

@@ -33,6 +33,17 @@ def test_blocks():
     assert len(leaf_blocks(nested)) == 20_001 and [e.tag for e in leaf_blocks(nested)[-1].path] == ["p"]
 
 
+def test_stray_quotes_lose_no_text():
+    assert texts("<div class=\"a\"\">Text</div><p class=\"b\">more</p>") == ["Text", "more"]
+    assert texts("<p don't>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<p title='a>b' id=x\"y>one</p><p title = \"c>d\"e>two</p>") == ["one", "two"]
+    assert texts("<p =\">one</p><p id=='>two</p>") == ["one", "two"]
+    assert texts("<p id=\"x>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<p a='>'one said 'two") == ["'one said 'two"]
+    many = "<p a='>'x" * 50_000
+    assert len(texts(many)) == 50_000
+
+
 def test_viterbi_is_the_best_of_all_labellings(field):
     for blocks, _ in read_labels(labelled_pages(60, 9)):
         blocks = blocks[:9]
