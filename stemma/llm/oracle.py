@@ -90,3 +90,83 @@ SELECT u.page_id, d.host, d.path, d.rule,
        coalesce(d.verdict, CASE WHEN a.allowed THEN 'allow' WHEN a.blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM urls u JOIN ruled d ON d.url = u.url LEFT JOIN alias a ON a.node = d.node
 """
+
+CONVERSATION_TRIE = """
+WITH RECURSIVE
+steps AS (
+  SELECT range AS b, range AS v, 0 AS k FROM range(256)
+  UNION ALL
+  SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT b, v FROM steps WHERE k = 8),
+crcs AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS v
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor(crcs.v >> 8, t.v)
+  FROM crcs JOIN crc_table t ON t.b = xor(crcs.v, CAST(ascii(s[i + 1]) AS BIGINT)) & 255
+  WHERE i < length(s)),
+heads AS (SELECT conv_id, xor(v, 4294967295) % 6 AS h FROM crcs WHERE i = length(s)),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+         length(coalesce(text, '')) AS size,
+         sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS name
+  FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+  SELECT h.conv_id, t.pos, t.size, t.name FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 100
+  WHERE t.pos <= h.h
+  UNION ALL
+  SELECT h.conv_id, t.pos, t.size, t.name FROM heads h JOIN turns t ON t.conv_id = h.conv_id
+  WHERE t.pos > h.h),
+placed AS (
+  SELECT conv_id, size, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth,
+         sha256(string_agg(name, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS prefix
+  FROM rebuilt),
+paths AS (
+  SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS size FROM heads
+  UNION ALL
+  SELECT conv_id, depth, prefix, size FROM placed),
+nodes AS (
+  SELECT depth, prefix, min(conv_id) AS least, count(*) AS n, any_value(size) AS size
+  FROM paths GROUP BY depth, prefix),
+lasts AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+ends AS (
+  SELECT depth, prefix, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM paths JOIN lasts USING (conv_id, depth) GROUP BY depth, prefix),
+parents AS (
+  SELECT n.depth, n.prefix, p.prefix AS above FROM nodes n JOIN paths p ON p.conv_id = n.least AND p.depth = n.depth - 1),
+children AS (SELECT depth - 1 AS depth, above AS prefix, count(*) AS n_children FROM parents GROUP BY depth, above),
+subtrees AS (
+  SELECT p.depth, p.prefix, sum((n.n - 1) * n.size) AS saved, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves
+  FROM nodes n JOIN paths p ON p.conv_id = n.least AND p.depth <= n.depth
+  LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+  GROUP BY p.depth, p.prefix)
+SELECT n.least AS conv_id, CAST(n.depth AS BIGINT) AS depth, a.least AS parent_conv_id, n.n AS n_convs,
+       coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+       coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n
+JOIN subtrees s ON s.depth = n.depth AND s.prefix = n.prefix
+LEFT JOIN parents p ON p.depth = n.depth AND p.prefix = n.prefix
+LEFT JOIN nodes a ON a.depth = p.depth - 1 AND a.prefix = p.above
+LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+LEFT JOIN ends e ON e.depth = n.depth AND e.prefix = n.prefix
+"""
+
+VECTOR_DEDUP = """
+WITH RECURSIVE
+vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT * FROM vectors
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (
+  SELECT vec_id AS node, vec_id AS root FROM vectors
+  UNION
+  SELECT l.v, r.root FROM reached r JOIN links l ON l.u = r.node),
+parts AS (SELECT node, min(root) AS component_id FROM reached GROUP BY node),
+numbers AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN parts ON node = vec_id LEFT JOIN numbers ON u = vec_id
+"""

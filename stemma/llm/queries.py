@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm import oracle
+from stemma.llm.conversation_trie import conversation_sequences, conversation_trie, grafted
 from stemma.llm.exact_dedup import exact_dedup
 from stemma.llm.html_extract import extract_main_text
 from stemma.llm.labelled import fold
 from stemma.llm.neighbours import nearest_neighbours
 from stemma.llm.packing import pack_documents
+from stemma.llm.product_quantisation import near_duplicate_vectors
 from stemma.llm.quality_sites import quality_scores
 from stemma.llm.sentencepiece_codec import encode_texts
 from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import table
+from stemma.llm.token_alignment import align_documents
 from stemma.llm.toxicity import toxicity
 from stemma.llm.url_filter import judge_urls, rule_table
 from stemma.llm.warc import page_records, read_archives, write_archives
@@ -88,6 +91,19 @@ def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = grafted(conversation_sequences(table(spark, sf_dir, "conversations")))
+    return conversation_trie(rebuilt).drop("turn_key").withColumn("depth", F.col("depth").cast("long"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_sentencepiece": op2_sentencepiece,
@@ -99,10 +115,15 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_sites": op9_quality_sites,
     "op10_forest_neighbours": op10_forest_neighbours,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_vector_dedup": op13_vector_dedup,
 }
 
 LLM_ORACLE: dict[str, str] = {
     "op3_warc": oracle.WARC,
     "op4_exact_dedup": oracle.EXACT_DEDUP,
     "op8_url_filter": oracle.URL_FILTER,
+    "op11_conversation_trie": oracle.CONVERSATION_TRIE,
+    "op13_vector_dedup": oracle.VECTOR_DEDUP,
 }
