@@ -16,6 +16,8 @@ from stemma.functions.text import (
     title_given,
     title_surname,
 )
+from stemma.operators import keys, merges
+from stemma.session import cut_lineage
 
 
 def latest_per_xref(records: DataFrame, order: str = "seq", key: str = "xref") -> DataFrame:
@@ -218,23 +220,39 @@ MERGE_MISSING = "Una de les persones no existeix"
 MERGE_SAME_XREF = "xref duplicat; revisa la coherència"
 
 
-def check_merges(decisions: DataFrame, persons: DataFrame) -> DataFrame:
-    """Every ``(primary_id, secondary_id)`` decision with its ``conflict``, NULL when accepted."""
+def check_merges(decisions: DataFrame, persons: DataFrame, order: str = "seq") -> DataFrame:
+    """Every decision ``(primary_id, secondary_id)`` with its ``conflict``, NULL when it stands.
+
+    Decisions are taken one after the other, by ``order``: one that stands
+    removes its secondary, and a later one that needs a person removed before
+    is refused. See `merges.removed_before` for how that is found in parallel.
+    """
+    ranked = keys.dense_ids(
+        decisions.select(F.col(order).alias("_order"), "primary_id", "secondary_id"),
+        "rank", F.col("_order"), F.col("primary_id"), F.col("secondary_id"),
+    )
     first = persons.select(F.col("person_id").alias("primary_id"), F.col("xref").alias("primary_xref"))
     second = persons.select(F.col("person_id").alias("secondary_id"), F.col("xref").alias("secondary_xref"))
-    found = decisions.join(
-        first.withColumn("_p", F.lit(True)), "primary_id", "left"
-    ).join(second.withColumn("_s", F.lit(True)), "secondary_id", "left")
+    found = ranked.join(first.withColumn("_p", F.lit(True)), "primary_id", "left").join(
+        second.withColumn("_s", F.lit(True)), "secondary_id", "left"
+    )
     same = F.upper(F.coalesce("primary_xref", F.lit(""))) == F.upper(F.coalesce("secondary_xref", F.lit("")))
+    there = F.col("_p").isNotNull() & F.col("_s").isNotNull()
+    alone = F.coalesce(F.col("primary_id") == F.col("secondary_id"), F.lit(False))
+    judged = cut_lineage(
+        found.select("rank", "primary_id", "secondary_id", alone.alias("self"), there.alias("there"), same.alias("same"))
+    )
+    asked = judged.where("there and not self").select("rank", "primary_id", "secondary_id", (~F.col("same")).alias("takes"))
+    gone = merges.removed_before(asked)
     conflict = (
-        F.when(F.col("primary_id") == F.col("secondary_id"), F.lit(MERGE_SELF))
-        .when(F.col("_p").isNull() | F.col("_s").isNull(), F.lit(MERGE_MISSING))
-        .when(same, F.lit(MERGE_SAME_XREF))
+        F.when(F.col("self"), F.lit(MERGE_SELF))
+        .when(~F.col("there") | F.col("gone"), F.lit(MERGE_MISSING))
+        .when(F.col("same"), F.lit(MERGE_SAME_XREF))
     )
-    return found.select("primary_id", "secondary_id", conflict.alias("conflict"))
+    return judged.join(gone, "rank", "left").select("primary_id", "secondary_id", conflict.alias("conflict"))
 
 
 def apply_merges(persons: DataFrame, checked: DataFrame) -> DataFrame:
-    """Persons without the secondaries of accepted decisions."""
+    """Persons without the secondaries of decisions that stand."""
     gone = checked.where("conflict is null").select(F.col("secondary_id").alias("person_id"))
     return persons.join(gone, "person_id", "left_anti")

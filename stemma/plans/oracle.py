@@ -589,14 +589,26 @@ cte(
     "",
     f"""SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex({fold('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS token FROM documents""",
 )
-cte("merge_decisions", "", """SELECT c_custkey + 1 AS primary_id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1 WHEN c_custkey % 5 = 1 THEN c_custkey + 1000000 ELSE c_custkey + 2 END AS secondary_id FROM customer""")
 cte(
-    "merges",
-    "merge_decisions persons",
-    """SELECT primary_id, secondary_id, CASE WHEN primary_id = secondary_id THEN 'No es pot fusionar una persona amb si mateixa'
-  WHEN a.xref IS NULL OR b.xref IS NULL THEN 'Una de les persones no existeix' WHEN upper(a.xref) = upper(b.xref) THEN 'xref duplicat; revisa la coherència' END AS conflict
-FROM merge_decisions LEFT JOIN persons a ON a.person_id = primary_id LEFT JOIN persons b ON b.person_id = secondary_id""",
+    "merge_decisions", "persons",
+    """SELECT d.*, row_number() OVER (ORDER BY seq, primary_id, secondary_id) AS rank, a.person_id AS first_id, b.person_id AS second_id,
+  upper(coalesce(a.xref, '')) = upper(coalesce(b.xref, '')) AS same
+FROM (SELECT (c_custkey * 7919) % 1000003 AS seq, CASE WHEN c_custkey % 7 = 0 THEN 10 ELSE c_custkey + 1 END AS primary_id,
+  CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1 WHEN c_custkey % 5 = 1 THEN c_custkey + 1000000 ELSE c_custkey + 2 END AS secondary_id FROM customer) d
+LEFT JOIN persons a ON a.person_id = primary_id LEFT JOIN persons b ON b.person_id = secondary_id""",
+)
+# One decision after the other, with the list of those removed so far.
+cte(
+    "merge_loop", "merge_decisions",
+    """SELECT 0::BIGINT AS rank, NULL::BIGINT AS primary_id, NULL::BIGINT AS secondary_id, NULL::VARCHAR AS conflict, []::BIGINT[] AS gone
+UNION ALL
+SELECT rank, primary_id, secondary_id, conflict, CASE WHEN conflict IS NULL THEN list_append(gone, secondary_id) ELSE gone END
+FROM (SELECT d.rank, d.primary_id, d.secondary_id, merge_loop.gone, CASE WHEN d.primary_id = d.secondary_id THEN 'No es pot fusionar una persona amb si mateixa'
+  WHEN first_id IS NULL OR second_id IS NULL OR list_contains(gone, first_id) OR list_contains(gone, second_id) THEN 'Una de les persones no existeix'
+  WHEN same THEN 'xref duplicat; revisa la coherència' END AS conflict
+FROM merge_loop JOIN merge_decisions d ON d.rank = merge_loop.rank + 1)""",
 )
+cte("merges", "merge_loop", "SELECT primary_id, secondary_id, conflict FROM merge_loop WHERE rank > 0")
 
 
 def statement(needs: str, body: str) -> str:
@@ -614,9 +626,9 @@ def statement(needs: str, body: str) -> str:
         visit(name)
     if not order:
         return body
-    recursive = ""
-    common = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name][1]})" for name in order)
-    return f"WITH {recursive}{common}\n{body}"
+    loops = "merge_loop" in order
+    common = ",\n".join(f"{name} AS{'' if name == 'merge_loop' else ' MATERIALIZED'} ({CTES[name][1]})" for name in order)
+    return f"WITH {'RECURSIVE ' if loops else ''}{common}\n{body}"
 
 
 ORACLE: dict[str, str] = {}
@@ -687,13 +699,46 @@ oracle("gedcom_sources", "source_records", "SELECT xref, title, author, publicat
 oracle("gedcom_media", "media_records", "SELECT xref, coalesce(file, '') AS file, title FROM media_records")
 oracle("gedcom_notes", "", "SELECT 'N' || doc_id AS xref, md5(text) AS text_md5, length(text) AS n_chars FROM documents")
 oracle(
-    "import_in_two_parts", "persons family_records raw_events places source_map media_records person_sources",
+    "import_in_two_parts", "persons family_records raw_events places source_map media_records person_sources links",
     """SELECT name, batch, n FROM (
   SELECT 'persons' AS name, 0::BIGINT AS batch, count(*) AS n FROM persons UNION ALL SELECT 'families', 1, count(*) FROM family_records
   UNION ALL SELECT 'events', 0, count(*) FROM raw_events UNION ALL SELECT 'places', 0, count(*) FROM places
   UNION ALL SELECT 'sources', 0, count(DISTINCT source_xref) FROM source_map UNION ALL SELECT 'media', 0, count(*) FROM media_records
-  UNION ALL SELECT 'person_sources', 0, count(*) FROM person_sources UNION ALL SELECT 'rejected', 1, count(*) FROM family_records
-  UNION ALL SELECT 'conflicts', 1, count(*) FROM persons WHERE person_id % 10 = 0) WHERE n > 0""",
+  UNION ALL SELECT 'person_sources', 0, count(*) FROM person_sources UNION ALL SELECT 'person_media', 0, count(DISTINCT (owner_xref, target)) FROM links JOIN media_records ON xref = target WHERE tag = 'OBJE'
+  UNION ALL SELECT 'rejected', 1, count(*) FROM family_records
+  UNION ALL SELECT 'conflicts', 2, count(*) FROM persons WHERE person_id % 10 = 0) WHERE n > 0""",
+)
+cte("nation_people", "persons", "SELECT c_nationkey AS n, person_id, 'I' || person_id AS key, birth_date FROM customer JOIN persons ON person_id = c_custkey + 1")
+# Documents in their order: the second of two with one teller is refused, and then its family is free for the third.
+cte("nation_tellers", "nation_people", "SELECT DISTINCT a.n FROM nation_people a JOIN nation_people b ON b.n = a.n - 1 WHERE a.n % 5 = 1")
+cte(
+    "nation_refused", "nation_tellers",
+    """SELECT n, 'persons|T' || (n - 1) || '|repeated' AS detail FROM nation_tellers
+UNION ALL SELECT DISTINCT a.n, 'families|G' || (a.n - 1) || '|repeated' FROM nation_people a JOIN nation_people b ON b.n = a.n - 1 WHERE a.n % 5 = 2 AND b.n NOT IN (SELECT n FROM nation_tellers)""",
+)
+cte("nation_kept", "nation_refused", "SELECT *, count(*) OVER (PARTITION BY n) AS size FROM nation_people WHERE n NOT IN (SELECT n FROM nation_refused)")
+cte("nation_heads", "nation_kept", "SELECT n, min(person_id) AS own, (SELECT min(person_id) FROM nation_people) AS least FROM nation_kept GROUP BY n")
+_NATION = "'nation-' || lpad(n::VARCHAR, 2, '0')"
+oracle(
+    "import_documents", "nation_heads",
+    f"""SELECT 'person' AS kind, key, '' AS detail FROM nation_kept UNION ALL SELECT 'person', 'T' || n - (CASE WHEN n % 5 = 1 THEN 1 ELSE 0 END), '' FROM nation_heads
+UNION ALL SELECT 'event', key, 'birth|' || birth_date FROM nation_kept WHERE birth_date IS NOT NULL
+UNION ALL SELECT 'family', 'G' || n - (CASE WHEN n % 5 = 2 THEN 1 ELSE 0 END), '|' FROM nation_heads
+UNION ALL SELECT 'family', 'F1N' || n, 'I' || own || '|' || CASE WHEN own = least THEN 'I' || least ELSE '' END FROM nation_heads
+UNION ALL SELECT 'child', 'F1N' || n, 'I' || own || '|2' FROM nation_heads UNION ALL SELECT 'child', 'F1N' || n, 'I' || least || '|1' FROM nation_heads WHERE own = least
+UNION ALL SELECT 'person_source', key, 'Register ' || n FROM nation_kept UNION ALL SELECT 'event_source', key, 'Register ' || n FROM nation_kept WHERE birth_date IS NOT NULL
+UNION ALL SELECT 'person_media', key, n || '.jpg' FROM nation_kept WHERE person_id % 3 = 0 UNION ALL SELECT 'event_media', key, n || '.jpg' FROM nation_kept WHERE birth_date IS NOT NULL
+UNION ALL SELECT 'conflict', {_NATION}, detail FROM nation_refused
+UNION ALL SELECT 'document', {_NATION}, CASE WHEN n IN (SELECT n FROM nation_refused) THEN 'false|1' ELSE 'true|0' END FROM (SELECT DISTINCT n FROM nation_people)
+UNION ALL SELECT 'audit', name, size || '|' || size || '|' || size FROM (
+  SELECT 'persons' AS name, (SELECT count(*) FROM nation_kept) + (SELECT count(*) FROM nation_heads) AS size
+  UNION ALL SELECT 'families', 2 * count(*) FROM nation_heads UNION ALL SELECT 'events', count(birth_date) FROM nation_kept
+  UNION ALL SELECT 'sources', count(*) FROM nation_heads UNION ALL SELECT 'media', count(*) FROM nation_heads)""",
+)
+oracle(
+    "dashboard_of_stored", "nation_heads",
+    """SELECT (SELECT count(*) FROM nation_kept) + (SELECT count(*) FROM nation_heads) AS persons, (SELECT 2 * count(*) FROM nation_heads) AS families,
+  (SELECT count(birth_date) FROM nation_kept) AS events, (SELECT count(*) FROM nation_heads) AS sources, true AS dated""",
 )
 oracle("gedcom_links", "links", "SELECT owner_xref, 'person' AS owner_kind, tag, target FROM links")
 oracle("lookup_person", "persons", "SELECT * FROM persons WHERE xref = 'I42'")

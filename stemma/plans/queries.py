@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from stemma.operators import (
 from stemma.operators.pair_rules import CustomRule, Settings
 from stemma.plans import fixtures, imports
 from stemma.plans.dataset import Dataset, from_fixtures
-from stemma.plans.rendering import write_gedcom
+from stemma.plans.rendering import nation_documents, write_gedcom
 from stemma.session import cut_lineage, staging_dir
 from stemma.sources import gedcom, writers
 
@@ -167,32 +168,91 @@ def _(parsed: DataFrame) -> DataFrame:
 
 @query("import_in_two_parts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per stored table and batch after two imports into one folder.
+    """Rows per stored table and batch after three imports into one folder.
 
-    The first import holds all but the families. The second holds the
-    families, each with a malformed line, and every tenth person again, who is
-    refused.
+    The first import holds all but the families, as one document. The second
+    holds the families, each with a malformed line; their members are in
+    another document. The third holds every tenth person again and is refused
+    as a whole.
     """
     records = gedcom.read_records(spark, write_gedcom(spark, sf_dir))
     tag = F.regexp_extract("text", "^0 (?:@[^@]*@ )?([A-Z]+)", 1)
     folder = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
     again = records.where((tag == "INDI") & F.col("text").rlike("^0 @I[0-9]*0@"))
     families = records.where(tag == "FAM").withColumn("text", F.concat("text", F.lit("\nno level")))
-    # A part of a file counts as a file with its head.
-    whole = F.lit(True)
-    imports.import_records(records.where(tag != "FAM").withColumn("head", whole), folder, fail_fast=False)
-    imports.import_records(families.unionByName(again).withColumn("head", whole), folder, fail_fast=False)
+    for name, part in (("people", records.where(tag != "FAM")), ("families", families), ("again", again)):
+        # A part of a file counts as a file with its head.
+        imports.import_records(part.withColumn("head", F.lit(True)), folder, fail_fast=False, document=F.lit(name))
     stored = {**imports.stored_tables(spark, folder), **imports.stored_reports(spark, folder)}
     counted = [
         stored[name].groupBy("batch").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name))
-        for name in ("persons", "families", "events", "places", "sources", "media", "person_sources", "rejected", "conflicts")
-    ]
+        for name in (
+            "persons", "families", "parent_children", "events", "places", "sources", "media", "person_sources", "person_media",
+            "event_sources", "event_media", "rejected", "conflicts",
+        )
+    ]
     rows = counted[0]
     for more in counted[1:]:
         rows = rows.unionByName(more)
     return rows.select("name", "batch", "n")
 
 
+def _imported_nations(spark: SparkSession, sf_dir: str) -> str:
+    """The folder that holds one import of many documents, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _nations:
+        folder = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
+        imports.import_records(nation_documents(spark, sf_dir), folder, fail_fast=False)
+        _nations[key] = folder
+    return _nations[key]
+
+
+_nations: dict[tuple[str, str], str] = {}
+
+
+@query("import_documents")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored of one document per nation: all use the same ids, and some are refused."""
+    folder = _imported_nations(spark, sf_dir)
+    stored = {**imports.stored_tables(spark, folder), **imports.stored_reports(spark, folder)}
+    people = stored["persons"].select(F.col("id").alias("person_id"), F.col("xref").alias("key"))
+    told = stored["events"].select(F.col("id").alias("event_id"), "person_id", "event_type", "date_text").join(people, "person_id")
+    titles = stored["sources"].select(F.col("id").alias("source_id"), F.col("title").alias("detail"))
+    files = stored["media"].select(F.col("id").alias("media_id"), F.col("file_path").alias("detail"))
+    named = lambda role: people.select(F.col("person_id").alias(f"{role}_id"), F.col("key").alias(role))
+    families = stored["families"].select(F.col("id").alias("family_id"), F.col("xref").alias("family"), "father_id", "mother_id")
+    couples = families.join(named("father"), "father_id", "left").join(named("mother"), "mother_id", "left")
+    kids = stored["parent_children"].join(families.drop("father_id", "mother_id"), "family_id").join(named("child"), "child_id")
+    joined = lambda *parts: F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+    audited = [
+        stored[name].agg(F.countDistinct("uuid").alias("a"), F.count("created_at").alias("b"), F.count("updated_at").alias("c"))
+        .select(F.lit(name).alias("key"), joined("a", "b", "c").alias("detail"))
+        for name in ("persons", "families", "events", "sources", "media")
+    ]
+    found = {
+        "person": people.select("key", F.lit("").alias("detail")),
+        "event": told.select("key", joined("event_type", "date_text").alias("detail")),
+        "family": couples.select(F.col("family").alias("key"), joined("father", "mother").alias("detail")),
+        "child": kids.select(F.col("family").alias("key"), joined("child", "sibling_order").alias("detail")),
+        "person_source": stored["person_sources"].join(people, "person_id").join(titles, "source_id"),
+        "person_media": stored["person_media"].join(people, "person_id").join(files, "media_id"),
+        "event_source": stored["event_sources"].join(told, "event_id").join(titles, "source_id"),
+        "event_media": stored["event_media"].join(told, "event_id").join(files, "media_id"),
+        "document": stored["documents"].select(F.col("document").alias("key"), joined("admitted", "n_conflicts").alias("detail")),
+        "conflict": stored["conflicts"].select(F.col("document").alias("key"), joined("table", "key", "reason").alias("detail")),
+        "audit": reduce(DataFrame.unionByName, audited),
+    }
+    rows = [df.select(F.lit(kind).alias("kind"), "key", "detail") for kind, df in found.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("dashboard_of_stored")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard over stored tables, which know when they were imported."""
+    ds = imports.dataset_from_tables(spark, _imported_nations(spark, sf_dir))
+    return ds.dashboard().select("persons", "families", "events", "sources", F.col("last_import").isNotNull().alias("dated"))
+
+
 @on_files("gedcom_links")
 def _(parsed: DataFrame) -> DataFrame:
     return gedcom.links(gedcom.entities(parsed)).drop("seq")
@@ -480,8 +540,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions in a scattered order; every seventh merges into one person, who is merged away in turn."""
     return fixtures.table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey + 1 as primary_id",
+        "(c_custkey * 7919) % 1000003 as seq",
+        "case when c_custkey % 7 = 0 then 10 else c_custkey + 1 end as primary_id",
         "case when c_custkey % 5 = 0 then c_custkey + 1 when c_custkey % 5 = 1 then c_custkey + 1000000 else c_custkey + 2 end as secondary_id",
     )
 

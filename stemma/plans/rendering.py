@@ -95,6 +95,44 @@ def other_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.unionByName(item).unionByName(note)
 
 
+def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records ``(path, block, rec, head, text)`` of one document per nation, whose ids repeat from one to the other.
+
+    Every document has a source S1 and a medium O1 of its own. Its family
+    points to its first person and to the first of all, who is in one document
+    only. A teller T<n> is in the documents n and, where n is divisible by 5,
+    n + 1; a family G<n> is in n and, where the remainder is 1, in n + 1.
+    """
+    customer = fixtures.table(spark, sf_dir, "customer").select(F.expr("c_custkey + 1 as person_id"), F.col("c_nationkey").alias("n"))
+    people = customer.join(fixtures.persons(spark, sf_dir), "person_id").select("n", "person_id", "given_name", "birth_date")
+    born = F.concat(
+        F.lit("1 BIRT\n2 DATE "), "birth_date", F.lit("\n2 SOUR @S1@\n2 OBJE @O1@\n2 SOUR @S2@"),
+    )
+    person = people.select(
+        "n", F.col("person_id").alias("rec"),
+        _block(
+            F.concat(F.lit("0 @I"), "person_id", F.lit("@ INDI")), _line(1, "NAME", F.coalesce("given_name", F.lit("?"))), born,
+            F.lit("1 SOUR @S1@"), F.when(F.col("person_id") % 3 == 0, F.lit("1 OBJE @O1@")),
+        ).alias("text"),
+    )
+    least = people.agg(F.min("person_id")).first()[0]
+    nations = people.groupBy("n").agg(F.min("person_id").alias("own")).withColumn("least", F.lit(least))
+    texts = [
+        "'0 HEAD'",
+        "concat('0 @T', n - if(n % 5 = 1, 1, 0), '@ INDI\n1 NAME Teller ', n)",
+        "concat('0 @G', n - if(n % 5 = 2, 1, 0), '@ FAM')",
+        "concat('0 @F1N', n, '@ FAM\n1 HUSB @I', own, '@\n1 WIFE @I', least, '@\n1 CHIL @I', least, '@\n1 CHIL @I', own, '@')",
+        "concat('0 @S1@ SOUR\n1 TITL Register ', n)",
+        "concat('0 @O1@ OBJE\n1 FILE ', n, '.jpg')",
+    ]
+    more = nations.select("n", F.posexplode(F.array(*[F.expr(t) for t in texts])).alias("k", "text"))
+    whole = person.unionByName(more.select("n", (F.col("k") - 10).cast("bigint").alias("rec"), "text"))
+    return whole.select(
+        F.concat(F.lit("nation-"), F.lpad(F.col("n").cast("string"), 2, "0")).alias("path"),
+        F.lit(0).cast("bigint").alias("block"), "rec", F.lit(True).alias("head"), "text",
+    )
+
+
 _written: dict[tuple[str, str], str] = {}
 
 
