@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -22,6 +23,16 @@ def test_words_give_the_ids_of_the_whole_text():
         assert words.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_all_plain_signs_split_as_the_tokenizer_does():
+    whole, words = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    r = random.Random(6)
+    plain = [chr(c) for c in range(0x20, 0x250)] + list("\n\n    ''''stremvld....,,")
+    texts = ["".join(r.choices(plain if k % 2 else "abcdeST .,;'!?-09\n<>_[]", k=r.randrange(60))) for k in range(1500)]
+    ids, starts = words.encode_all(pa.array(["", *texts, ""])[1:-1])
+    for text, begin, till in zip(texts, starts, starts[1:]):
+        assert ids[begin:till].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize(
     "histogram",
     [
