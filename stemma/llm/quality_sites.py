@@ -9,6 +9,10 @@ under its host's rate; the strength of both priors comes from the spread of
 the rates over hosts and paths, so sparse sites shrink towards what is above
 them. The posterior odds of a document are its own evidence times the odds of
 its path, with the document itself left out of that path.
+
+Every text is read by the classifier once, into a narrow table (id, site,
+hash, probability). Labels, sites and posteriors are joined to that, never to
+texts.
 """
 
 from __future__ import annotations
@@ -106,9 +110,10 @@ def _strength(groups: DataFrame, total: Column, number: Column, above: Column) -
 
 @dataclass
 class SiteModel:
-    """The classifier, the rates of hosts and paths, and the strength of the priors."""
+    """The classifier, what it says of each document, the rates of hosts and paths, and the strength of the priors."""
 
     classifier: LogisticRegressionModel | None
+    scored: DataFrame
     base_rate: float
     hosts: DataFrame
     paths: DataFrame
@@ -117,22 +122,32 @@ class SiteModel:
     path_strength: float
 
 
-def _evidence(docs: DataFrame, classifier: LogisticRegressionModel | None, base: float, text_col: str) -> DataFrame:
-    """(row, p): the classifier's probability that the row's text is good."""
-    rows = docs.select(whole_row(docs), text_or_empty(text_col).alias("text"))
-    if classifier is None:
-        return rows.select("row", F.lit(base).alias("p"))
-    dense = rows.select("row", array_to_vector(feature_column(F.col("text"))).alias("features"))
-    return classifier.transform(dense).select("row", vector_to_array("probability")[1].alias("p"))
+def _site(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
-def _site(column: str) -> Column:
-    return F.coalesce(F.col(f"row.`{column}`").cast("string"), F.lit(""))
+def row_sha256(text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> Column:
+    """SHA-256 of all that a verdict depends on besides the id: host, path and text."""
+    parts = [F.concat(F.length(_site(c)).cast("string"), F.lit(":"), _site(c)) for c in (host_col, path_col)]
+    return F.sha2(F.concat(*parts, text_or_empty(f"`{text_col}`")).cast("binary"), 256)
 
 
-def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` with the ``label`` of their ``_id``: all labels outside the held-out fold, not the classifier's sample."""
-    return rows.join(label_sample(labels, "quality", None).withColumnRenamed("doc_id", "_id"), "_id", "left")
+def _evidence(
+    docs: DataFrame, classifier: LogisticRegressionModel | None, base: float, text_col: str, host_col: str, path_col: str
+) -> DataFrame:
+    """(doc_id, host, path, row_sha256, p): the classifier's probability that the row's text is good."""
+    names = ["doc_id", "host", "path", "row_sha256"]
+    rows = docs.select(
+        F.col("doc_id"),
+        _site(host_col).alias("host"),
+        _site(path_col).alias("path"),
+        row_sha256(text_col, host_col, path_col).alias("row_sha256"),
+        text_or_empty(f"`{text_col}`").alias("text"),
+    )
+    if classifier is None:
+        return rows.select(*names, F.lit(base).alias("p"))
+    dense = rows.select(*names, array_to_vector(feature_column(F.col("text"))).alias("features"))
+    return classifier.transform(dense).select(*names, vector_to_array("probability")[1].alias("p"))
 
 
 def fit_sites(
@@ -154,11 +169,14 @@ def fit_sites(
     if seen.get(0.0) and seen.get(1.0):
         dense = train.select("label", array_to_vector("f").alias("features"))
         classifier = LogisticRegression(regParam=1e-4, maxIter=50).fit(dense)
-    scored = _evidence(docs, classifier, base, text_col).select(
-        F.col("row.doc_id").alias("_id"), _site(host_col).alias("host"), _site(path_col).alias("path"), "p"
+    # All labels outside the held-out fold count for sites, not the classifier's sample alone.
+    scored = cut_lineage(
+        _evidence(docs, classifier, base, text_col, host_col, path_col).join(
+            label_sample(labels, "quality", None), "doc_id", "left"
+        )
     )
-    scored = _with_labels(scored, labels).select("host", "path", F.coalesce("label", "p").alias("q"))
-    paths = cut_lineage(scored.groupBy("host", "path").agg(F.sum("q").alias("good"), F.count(F.lit(1)).alias("n")))
+    told = F.coalesce("label", "p")
+    paths = cut_lineage(scored.groupBy("host", "path").agg(F.sum(told).alias("good"), F.count(F.lit(1)).alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
     whole = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     rate = whole["good"] / whole["n"] if whole["n"] else base
@@ -168,7 +186,7 @@ def fit_sites(
     )
     inside = paths.join(hosts.select("host", "host_rate"), "host")
     path_strength = _strength(inside, F.col("good"), F.col("n"), F.col("host_rate"))
-    return SiteModel(classifier, base, hosts, paths, rate, host_strength, path_strength)
+    return SiteModel(classifier, scored, base, hosts, paths, rate, host_strength, path_strength)
 
 
 def quality_scores(
@@ -180,39 +198,32 @@ def quality_scores(
     threshold: float = THRESHOLD,
     rows: int = TRAIN_ROWS,
 ) -> DataFrame:
-    """(row, document_score, host_rate, path_rate, posterior, good) for every row of ``docs``.
-
-    ``row`` holds the input columns, whatever their names. Whole texts count;
-    a null text is an empty one, a null host or path a site of its own.
-    Repeated rows get equal scores. With labels of one class or none, the
-    classifier gives every document the share of good labels (1 without
-    labels) and only the sites speak. An empty table gives an empty result.
-    ``good`` is false where the posterior is below ``threshold``.
+    """(doc_id, host, path, row_sha256, document_score, host_rate, path_rate, posterior, good) for every row of ``docs``.
+
+    Whole texts count; a null text is an empty one, a null host or path the
+    empty one. Repeated rows get equal scores. With labels of one class or
+    none, the classifier gives every document the share of good labels (1
+    without labels) and only the sites speak. An empty table gives an empty
+    result. ``good`` is false where the posterior is below ``threshold``.
+    Extra columns are ignored. `good_rows` keeps the rows that are good.
     """
     model = fit_sites(docs, labels, text_col, host_col, path_col, rows)
     base = min(max(model.base_rate, CLIP), 1 - CLIP)
-    sites = cut_lineage(
-        model.paths.join(model.hosts.select("host", "host_rate"), "host").select(
-            F.col("host").alias("_host"), F.col("path").alias("_path"), "good", "n", "host_rate"
-        )
-    )
-    scored = (
-        _evidence(docs, model.classifier, base, text_col)
-        .withColumns({"_host": _site(host_col), "_path": _site(path_col)})
-        .join(sites.withColumnRenamed("good", "_good"), ["_host", "_path"], "left")
-        .withColumn("_id", F.col("row.doc_id"))
-    )
-    scored = _with_labels(scored, labels)
+    sites = model.paths.join(model.hosts.select("host", "host_rate"), "host")
+    scored = model.scored.join(sites.withColumnRenamed("good", "_good"), ["host", "path"])
     # What the document itself added is taken out of its path before the path speaks for it.
     added = F.coalesce("label", "p")
     others = F.greatest(F.col("_good") - added, F.lit(0.0)) + F.col("host_rate") * model.path_strength
     path_rate = F.least(others / (F.greatest(F.col("n") - 1, F.lit(0)) + model.path_strength), F.lit(1.0))
     odds = _logit(F.col("p")) - math.log(base / (1 - base)) + _logit(F.col("path_rate"))
     return (
-        scored.withColumn("path_rate", F.coalesce(path_rate, F.lit(model.global_rate)))
+        scored.withColumn("path_rate", path_rate)
         .withColumn("posterior", 1 / (1 + F.exp(-odds)))
         .select(
-            "row",
+            "doc_id",
+            "host",
+            "path",
+            "row_sha256",
             F.col("p").alias("document_score"),
             "host_rate",
             "path_rate",
@@ -220,3 +231,15 @@ def quality_scores(
             (F.col("posterior") >= threshold).alias("good"),
         )
     )
+
+
+def good_rows(docs: DataFrame, scores: DataFrame, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``scores`` calls good, repeated ones as often as they are there.
+
+    Rows with one id and one hash have one verdict, so a semi-join on both
+    finds them; null ids match null ids.
+    """
+    named = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("key")
+    marked = docs.select(whole_row(docs), named, row_sha256(text_col, host_col, path_col).alias("sha"))
+    wanted = scores.where("good").select(named, F.col("row_sha256").alias("sha"))
+    return marked.join(wanted, ["key", "sha"], "left_semi").select("row.*")

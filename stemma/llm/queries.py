@@ -84,7 +84,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("row.doc_id", "document_score", "host_rate", "path_rate", "posterior", "good")
+    return scored.select("doc_id", "document_score", "host_rate", "path_rate", "posterior", "good")
 
 
 def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from stemma.llm import quality_sites
 from stemma.llm.labelled import fold, label_sample
-from stemma.llm.quality_sites import fit_sites, quality_scores
+from stemma.llm.quality_sites import fit_sites, good_rows, quality_scores
 from stemma.llm.toxicity import FEATURES, _Weights, features, fit_toxicity, toxicity
 
 WORDS = "the of and river mountain letter window garden paper music table yellow summer winter bread".split()
@@ -83,7 +85,7 @@ def test_toxic_features():
 
 def test_quality_on_held_out_rows(data):
     docs, labels = data
-    rows = quality_scores(docs, labels).select("row.doc_id", "posterior", "good", "path_rate", "host_rate").collect()
+    rows = quality_scores(docs, labels).select("doc_id", "posterior", "good", "path_rate", "host_rate").collect()
     assert len(rows) == docs.count() and all(0 < r.posterior < 1 for r in rows)
     truth = {r.doc_id: r.quality for r in labels.collect()}
     held = [(r.good, truth[r.doc_id]) for r in rows if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and truth.get(r.doc_id) is not None]
@@ -91,6 +93,41 @@ def test_quality_on_held_out_rows(data):
     assert quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_posterior_equals_a_plain_recomputation(data):
+    """Site rates, the document left out of its path, and the odds, all in plain Python from the classifier's scores."""
+    docs, labels = data
+    model = fit_sites(docs, labels)
+    kept = {r.doc_id: r.label for r in label_sample(labels, "quality", None).collect()}
+    rows = quality_scores(docs, labels).collect()
+    told = [kept.get(r.doc_id, r.document_score) for r in rows]
+    sums = {}
+    for r, q in zip(rows, told):
+        for site in ((), (r.host,), (r.host, r.path)):
+            good, n = sums.get(site, (0.0, 0))
+            sums[site] = (good + q, n + 1)
+    whole = sums[()][0] / sums[()][1]
+    clip = lambda p: min(max(p, quality_sites.CLIP), 1 - quality_sites.CLIP)
+    logit = lambda p: math.log(clip(p) / (1 - clip(p)))
+    k, m = model.host_strength, model.path_strength
+    for r, q in zip(rows, told):
+        good, n = sums[(r.host,)]
+        host = (good + whole * k) / (n + k)
+        good, n = sums[(r.host, r.path)]
+        path = min((max(good - q, 0.0) + host * m) / (n - 1 + m), 1.0)
+        assert (r.host_rate, r.path_rate) == (pytest.approx(host), pytest.approx(path))
+        odds = logit(r.document_score) - logit(model.base_rate) + logit(path)
+        assert r.posterior == pytest.approx(1 / (1 + math.exp(-odds))) and r.good == (r.posterior >= 0.3)
+
+
+def test_good_rows_keeps_every_row_that_is_good(data):
+    docs, labels = data
+    scores = quality_scores(docs, labels)
+    kept = good_rows(docs, scores)
+    assert kept.columns == docs.columns
+    want = Counter(r.doc_id for r in scores.where("good").collect())
+    assert Counter(r.doc_id for r in kept.collect()) == want and want[3] == 2
+
+
 def test_quality_without_two_classes(data):
     docs, labels = data
     assert quality_scores(docs, labels.limit(0)).where("not good").count() == 0
@@ -121,7 +158,7 @@ def test_sites_count_all_labels_beyond_the_sample_of_the_fit(spark):
     labels = spark.createDataFrame([(r[0], 1 - r[0] % 2) for r in docs], "doc_id long, quality int")
     model = fit_sites(frame, labels, rows=20)
     held = [i for i, *_ in docs if zlib.crc32(str(i).encode()) % 3 == 1]
-    scored = quality_scores(frame, labels, rows=20).select("row.doc_id", "row.source", "document_score", "good").collect()
+    scored = quality_scores(frame, labels, rows=20).select("doc_id", F.col("host").alias("source"), "document_score", "good").collect()
     p = {r.doc_id: r.document_score for r in scored}
     assert 0.2 < min(p.values()) and max(p.values()) < 0.8
     good = {r.host: r.good for r in model.paths.collect()}

@@ -17,7 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "exact_dedup", "near_dedup", "packing"]
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in LLM_QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in LLM_QUERIES}
     assert set(LLM_QUERIES) < set(names) and "pipeline" in names and set(LLM_ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
