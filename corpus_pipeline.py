@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.exact_dedup import exact_dedup
 from stemma.llm.packing import pack_documents
-from stemma.llm.quality_sites import quality_scores
+from stemma.llm.quality_sites import good_rows, quality_scores
 from stemma.llm.queries import TOXIC
 from stemma.llm.simhash_dedup import simhash_dedup
 from stemma.llm.tables import keep_rows, table
@@ -20,8 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior says good stay."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where("good").select("row.*")
+    return good_rows(docs, quality_scores(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
