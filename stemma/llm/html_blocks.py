@@ -18,13 +18,17 @@ TOKEN = re.compile(
 PLAIN = re.compile(_TOKEN.format("[^>]*+"), re.S)
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|type)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
-
-#: Elements whose text is never shown as text of the page.
-HIDDEN = frozenset("script style noscript template iframe object svg math textarea title select head canvas audio video".split())
-#: Those of them that hide the rest of the page if they have no end.
-RAW = frozenset("script style textarea title iframe".split())
-_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in HIDDEN}
+NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+#: Elements whose content is no markup and ends at their first end tag, or hides the rest of the page.
+RAW = frozenset("script style noscript textarea title iframe".split())
+#: Elements whose text is never shown as text of the page. The others hold elements, their own kind among them.
+HIDDEN = RAW | frozenset("template object svg math select canvas audio video".split())
+_ENDS = {name: re.compile(rf"</{name}(?![^\s/>])[^>]*>", re.I) for name in RAW}
+_OWN = {
+    name: re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(sorted(RAW))})(?![^\s/>])[^>]*>|<(?P<end>/?){name}(?![^\s/>])[^>]*>", re.I | re.S)
+    for name in HIDDEN - RAW
+}
 #: Elements that begin and end a block.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure"
@@ -100,6 +104,26 @@ def _parts(token: str) -> frozenset[str]:
     return _known_parts[token]
 
 
+def hidden_ends(page: str, name: str) -> dict[int, int]:
+    """Where each element of a hidden kind ends, by where it begins; those without an end are left out."""
+    ends: dict[int, int] = {}
+    begun: list[int] = []
+    at = 0
+    while found := _OWN[name].search(page, at):
+        at = found.end()
+        if found["raw"]:
+            end = _ENDS[found["raw"].lower()].search(page, at)
+            if not end:
+                break
+            at = end.end()
+        elif found["end"]:
+            if begun:
+                ends[begun.pop()] = at
+        elif found["end"] is not None and found.group()[-2] != "/":
+            begun.append(found.start())
+    return ends
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page in order, character references decoded and white space made one space.
 
@@ -124,6 +148,7 @@ def leaf_blocks(page: str) -> list[Block]:
 
     at = 0
     tokens = TOKEN
+    ends_of: dict[str, dict[int, int]] = {}
     while at < len(page):
         token = tokens.match(page, at)
         piece, at = token.group(), token.end()
@@ -144,15 +169,25 @@ def leaf_blocks(page: str) -> list[Block]:
         name, closing = tag.group(1).lower(), piece[1] == "/"
         if name in HIDDEN:
             if not closing and piece[-2] != "/":
-                end = _ENDS[name].search(page, at)
-                if end:
-                    at = end.end()
-                elif name in RAW:
+                if name in RAW:
+                    end = _ENDS[name].search(page, at)
+                    until = end.end() if end else None
+                else:
+                    if name not in ends_of:
+                        ends_of[name] = hidden_ends(page, name)
+                    until = ends_of[name].get(token.start())
+                if until:
+                    at = until
+                elif name in RAW or name == "template":
                     break
         elif name == "a":
             links = max(0, links + (-1 if closing else 1))
-        elif name == "br" or name == "hr":
+        elif name == "br":
             pieces.append(" ")
+        elif name == "hr":
+            flush()
+            if path and path[-1].tag == "p" and not deeper:
+                path.pop()
         elif name in BLOCK:
             flush()
             if closing:

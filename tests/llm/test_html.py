@@ -33,6 +33,24 @@ def test_blocks():
     assert len(leaf_blocks(nested)) == 20_001 and [e.tag for e in leaf_blocks(nested)[-1].path] == ["p"]
 
 
+def test_hidden_elements_end_where_their_own_do():
+    assert texts("<head><script>var s=\"</head>Leak\"</script><title>t</title></head><p>x") == ["x"]
+    assert texts("<svg><svg><text>a</text></svg><text>b</text></svg><p>x</p>") == ["x"]
+    assert texts("<object><object>a</object>b</object>x<template><template>c</template>d</template>y") == ["xy"]
+    assert texts("<template><script>'</template>'</script>hidden</template>x") == ["x"]
+    assert texts("<svg><!-- </svg> --><text>a</text></svg>x") == ["x"]
+    assert texts("x<noscript><p>n</p>") == ["x"] and texts("x<template><p>n</p>") == ["x"]
+    assert texts("x<video>y<p>z</p>") == ["xy", "z"] and texts("x<svg/>y<SVG><g/></SVG>z") == ["xyz"]
+    assert texts("<titles>a</titles><objects>b</objects>") == ["ab"]
+    many = "<svg>x" * 30_000 + "</svg>" * 15_000 + "<p>end</p>"
+    assert texts(many)[-1] == "end"
+
+
+def test_rules_part_blocks_and_capital_names_are_words():
+    assert texts("<p>a<hr>b</p><div>c<hr/>d</div>") == ["a", "b", "c", "d"]
+    assert [sorted(b.path[-1].parts) for b in leaf_blocks("<div class=NAV>a</div><div class=MAINContent>b</div>")] == [["menu"], ["main"]]
+
+
 def test_stray_quotes_lose_no_text():
     assert texts("<div class=\"a\"\">Text</div><p class=\"b\">more</p>") == ["Text", "more"]
     assert texts("<p don't>one</p><p>two</p>") == ["one", "two"]
