@@ -17,9 +17,12 @@ from stemma.session import cut_lineage
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands before the host, the host, the path and the query.
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-_NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
+_NOT_SHOWN = r"(?is)<!--.*?-->|<(script|style|template|textarea|title)\b.*?</\1\s*>"
 _TAG = r"(?is)(<(?:link|meta)\b[^>]*>)"
-_HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+#: An attribute with its value, which is taken as a whole, so that nothing inside it counts as an attribute.
+_ATTRIBUTE = r"(?is)[^\s=>/\"']+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+#: Character references that need no number, as far as URLs hold them; the ampersand comes last.
+_NAMED = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&amp;": "&"}
 _REFRESH = r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)"
 
 
@@ -37,11 +40,49 @@ def url_node(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")).contains("://"), name)
 
 
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of a name, without its quotes; empty if there is none."""
+    own = F.filter(attributes, lambda a: a.rlike(rf"(?is)^{name}\s*="))
+    value = F.regexp_replace(F.try_element_at(own, F.lit(1)), r"(?s)^[^=]*=\s*", "")
+    return F.coalesce(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"), F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path without segments ``.`` and ``..``, which takes the one before with it."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(segment == ".", kept).when(segment == "..", up).otherwise(F.array_append(kept, segment))
+
+    segments = F.split(path, "/")
+    open_end = F.element_at(segments, -1).isin(".", "..")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    joined = F.array_join(F.when(open_end, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), joined).otherwise(path)
+
+
+def _decoded(text: Column) -> Column:
+    """``text`` with its numeric character references and the commonest names decoded."""
+
+    def put(done: Column, reference: Column) -> Column:
+        digits = F.regexp_extract(reference, r"(?i)^&#x?([0-9a-f]+);?$", 1)
+        code = F.when(reference.rlike(r"(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.replace(done, reference, sign)
+
+    found = F.regexp_extract_all(text, F.lit(r"(?i)(&#(?:x[0-9a-f]{1,8}|[0-9]{1,9});?)"), F.lit(1))
+    text = F.aggregate(F.array_sort(F.array_distinct(found)), text, lambda done, r: put(done, r))
+    for name, sign in _NAMED.items():
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
 def _resolved(link: Column, base: Column) -> Column:
     """An absolute URL for ``link`` found on the page ``base``; null for a link to the page itself."""
     host, path, _ = url_parts(base)
     site = F.concat(F.lit("http://"), host)
-    return (
+    whole = (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
         .when(link.startswith("/"), F.concat(site, link))
@@ -49,6 +90,12 @@ def _resolved(link: Column, base: Column) -> Column:
         .when(link.startswith("?"), F.concat(site, path, link))
         .otherwise(F.concat(site, F.regexp_replace(path, r"[^/]*$", ""), F.when(path == "", "/").otherwise(""), link))
     )
+    # Dots are segments of the path alone, and a link to another scheme than the web's leads to no page.
+    own_path = url_parts(whole)[1]
+    head = F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1)
+    rest = F.regexp_extract(whole, r"(?s)^.*?://[^?#]*(.*)$", 1)
+    other = link.rlike(r"^(?i)(mailto|javascript|data|tel|about):")
+    return F.when(~other & whole.isNotNull(), F.concat(head, _without_dots(own_path), rest))
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -58,11 +105,13 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.col(url_col).alias("source"),
         F.explode(F.regexp_extract_all(F.regexp_replace(page, _NOT_SHOWN, ""), F.lit(_TAG), F.lit(1))).alias("tag"),
     )
-    href = F.concat(*[F.regexp_extract("tag", _HREF, i) for i in (1, 2, 3)])
-    canonical = F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?\s*canonical\b")
-    refresh = F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")
-    link = F.when(canonical, href).when(refresh, F.regexp_extract("tag", _REFRESH, 1))
-    link = F.trim(F.replace(link, F.lit("&amp;"), F.lit("&")))
+    told = told.withColumn("own", F.regexp_extract_all("tag", F.lit(_ATTRIBUTE), F.lit(0)))
+    kinds = F.split(F.lower(_attribute(F.col("own"), "rel")), r"\s+")
+    canonical = F.col("tag").rlike(r"(?i)^<link\b") & F.array_contains(kinds, "canonical")
+    equivalent = F.lower(F.btrim(_attribute(F.col("own"), "http-equiv"))) == "refresh"
+    refresh = F.col("tag").rlike(r"(?i)^<meta\b") & equivalent
+    link = F.when(canonical, _attribute(F.col("own"), "href")).when(refresh, F.regexp_extract("tag", _REFRESH, 1))
+    link = F.btrim(_decoded(link), F.lit(" \t\n\r\f"))
     return (
         told.select("source", link.alias("link"))
         .where("link is not null and source is not null")

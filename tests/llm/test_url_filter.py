@@ -1,9 +1,11 @@
+from urllib.parse import urljoin
+
 import duckdb
 import pytest
 
 from stemma.llm import oracle
 from stemma.llm.queries import RULES
-from stemma.llm.url_filter import judge_urls, rule_table
+from stemma.llm.url_filter import judge_urls, page_links, rule_table
 
 
 def canonical(url):
@@ -81,3 +83,33 @@ def test_longest_rule_wins_then_allow(spark, order):
     pages = spark.createDataFrame([(1, "http://a.com/z", ""), (2, "http://a.com/xy", ""), (3, "http://a.com/yx", "")], "page_id long, url string, html string")
     got = judge_urls(pages, rule_table(spark, rules)).collect()
     assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_links_resolve_as_in_the_library(spark):
+    base = "http://a.com/b/c/d;p?q"
+    links = "g ./g g/ /g ?y g?y g;x ;x . ./ .. ../ ../g ../.. ../../ ../../g ../../../g /./g /../g g. .g g.. ..g ./../g ./g/. g/./h g/../h g?y/./x".split()
+    links += ["//b.com/x/y", "HTTP://C.com/z", "http://d.com", "a/b/../../c"]
+    rows = [(f"{base}{i}", canonical(x)) for i, x in enumerate(links)]
+    got = {r.source: r.target for r in page_links(spark.createDataFrame(rows, "url string, html string")).collect()}
+    for (url, _), link in zip(rows, links):
+        assert got[url].lower() == urljoin(url, link).lower(), link
+
+
+def test_how_pages_name_their_canonical_address(spark):
+    tags = {
+        "<link href='/x' rel='shortlink  Canonical'>": "/x", "<LINK REL=canonical HREF=/x>": "/x",
+        "<link rel='canonicalize' href='/x'>": None, "<link data-x='rel=canonical' rel='icon' href='/x'>": None,
+        "<link rel='canonical' href='/a?b&#61;1&#x26;c=2&amp;d&quot;'>": '/a?b=1&c=2&d"', "<link rel='canonical' href=' /x\n'>": "/x",
+        "<style><link rel='canonical' href='/x'></style>": None, "<template><link rel='canonical' href='/x'></template>": None,
+        "<textarea><link rel='canonical' href='/x'></textarea>": None, "<link rel='canonical' href='/&#8364;&#0;'>": "/\u20ac\ufffd",
+        "<link rel='canonical' href='javascript:void(0)'>": None,
+    }
+    rows = [(f"http://a.com/{i}", html) for i, html in enumerate(tags)]
+    got = {r.source: r.target for r in page_links(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {u: "http://a.com" + want for (u, _), want in zip(rows, tags.values()) if want}
+
+
+def test_a_very_long_page(spark):
+    html = "<p>text</p>" * 200_000 + canonical("http://bad.net/a")
+    pages = spark.createDataFrame([(1, "http://a.com/x", html)], "page_id long, url string, html string")
+    assert [r.verdict for r in judge_urls(pages, rule_table(spark, RULES)).collect()] == ["block"]
