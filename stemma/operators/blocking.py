@@ -23,13 +23,16 @@ class Branch:
     """One family of join keys.
 
     ``links`` is the number of shared links in the key (0, 1 or 2); ``needs``
-    maps (birth far, death far) to the least name score.
+    maps (birth far, death far) to the least name score. ``place`` is the
+    relation of the birth places that the key asks for: "same", "related" (one
+    text holds the other), or None for any.
     """
 
     links: int
     birth: bool
     death: bool
     needs: dict
+    place: str | None = None
 
     @property
     def least(self) -> float:
@@ -53,7 +56,11 @@ def other_part(name: float) -> float:
     return math.ceil(((name - 0.005 - R.NAME_HIGH) / R.NAME_LOW) * 100 - 1e-6) / 100
 
 
-def least_name(settings: R.Settings, links: int, birth: float, death: float) -> float:
+#: Score of each relation of birth places.
+PLACES = {"same": R.PLACE_SAME, "related": R.PLACE_RELATED, None: 0.0}
+
+
+def least_name(settings: R.Settings, links: int, birth: float, death: float, place: str | None = "same") -> float:
     """Least name score (two decimals) of a candidate with this evidence."""
     w = settings.weight
     link_rules = {
@@ -67,7 +74,7 @@ def least_name(settings: R.Settings, links: int, birth: float, death: float) ->
     groups = [g for n in ({0: [0], 1: [1], 2: [2, 3]}[links]) for g in combinations(link_rules, n)]
     best = max(gain(g) for g in groups)
     best += w("birth") * birth + w("death") * death
-    best += w("place") if settings.use_place else 0.0
+    best += w("place") * PLACES[place] if settings.use_place else 0.0
     best += sum(rule.weight * rule.ceiling for rule in settings.custom)
     wanted = (settings.threshold - 0.0005) * settings.total_weight - 1e-9 - best
     if w("name") <= 0:
@@ -75,8 +82,26 @@ def least_name(settings: R.Settings, links: int, birth: float, death: float) ->
     return math.ceil(wanted / w("name") * 100 - 1e-6) / 100
 
 
+def _needs(settings: R.Settings, links: int, birth: bool, death: bool, place: str | None) -> dict:
+    needs = {}
+    for far_birth in (0, 1) if birth else (0,):
+        for far_death in (0, 1) if death else (0,):
+            birth_score = (R.OVERLAP if far_birth else R.SAME_YEAR) if birth else 0.0
+            death_score = (R.NEXT_YEAR if far_death else R.SAME_YEAR) if death else 0.0
+            need = least_name(settings, links, birth_score, death_score, place)
+            if need <= 1.0:
+                needs[(far_birth, far_death)] = max(0.0, need)
+    return needs
+
+
 def branches(settings: R.Settings) -> list[Branch]:
-    """All key families that can hold a candidate."""
+    """All key families that can hold a candidate.
+
+    A pair without a common relative has a branch per relation of the birth
+    places, if places count: the nearer the places, the less the names must
+    agree, and the place is part of the key. Where relatives are the key,
+    places may stand as they like.
+    """
     found = []
     for links in (0, 1, 2):
         if links == 2:
@@ -85,18 +110,17 @@ def branches(settings: R.Settings) -> list[Branch]:
             continue
         for birth in (True, False):
             for death in (True, False):
-                needs = {}
-                for far_birth in (0, 1) if birth else (0,):
-                    for far_death in (0, 1) if death else (0,):
-                        birth_score = (R.OVERLAP if far_birth else R.SAME_YEAR) if birth else 0.0
-                        death_score = (R.NEXT_YEAR if far_death else R.SAME_YEAR) if death else 0.0
-                        need = least_name(settings, links, birth_score, death_score)
-                        if need <= 1.0:
-                            needs[(far_birth, far_death)] = max(0.0, need)
-                if needs:
-                    found.append(Branch(links, birth, death, needs))
+                if links == 1 or not settings.use_place:
+                    kinds = {None: _needs(settings, links, birth, death, "same")}
+                else:
+                    kinds = {place: _needs(settings, links, birth, death, place) for place in PLACES}
+                for place, needs in kinds.items():
+                    # A place adds nothing where the names must agree no less without it.
+                    if needs and not (place and needs == kinds[None]):
+                        found.append(Branch(links, birth, death, needs, place))
     for branch in found:
-        if branch.links == 0 and not branch.birth and not branch.death:
+        keyed = branch.birth or branch.death or (branch.place and branch.by_token)
+        if branch.links == 0 and not keyed:
             raise ValueError(
                 "with these weights two persons that share neither dates nor relatives can be "
                 "candidates, so no key finds them all; raise the threshold or lower the name weight"

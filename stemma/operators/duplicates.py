@@ -18,6 +18,7 @@ from stemma.functions.names import edit_similarity, folded_name
 from stemma.functions.numeric import exact_round
 from stemma.functions.text import fold, has_text
 from stemma.operators.blocking import Branch, branches, dictionary_least, other_part
+from stemma.operators.blocks import split_join
 from stemma.operators.enrich import child_edges, parent_edges, spouse_edges
 from stemma.operators.pair_rules import Settings, keep_where, person_features, with_scores
 from stemma.operators.variants import similar_texts
@@ -136,7 +137,8 @@ def _name_parts(side: str) -> Column:
 def _meet(probe: DataFrame, build: DataFrame, keys: list[str], branch: Branch, dictionary: DataFrame | None, focused: bool) -> DataFrame:
     """Join both sides on the keys of a branch, plus similar name parts where the branch asks for them."""
     if not branch.by_token:
-        return probe.drop("need").join(build, keys)
+        # Years, places or relatives alone: such a key may be hot, so it is split by its size.
+        return split_join(probe.drop("need"), build, keys)
 
     def by_part(left: DataFrame, right: DataFrame) -> DataFrame:
         parts = left.withColumn("_p", F.explode(_name_parts("a")))
@@ -168,8 +170,23 @@ def _meet(probe: DataFrame, build: DataFrame, keys: list[str], branch: Branch, d
     return met
 
 
-def _branch_pairs(probe: DataFrame, build: DataFrame, branch: Branch, dictionary: DataFrame | None, keys: list[str], focused: bool) -> DataFrame:
+def _with_places(left: DataFrame, right: DataFrame, branch: Branch, related: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``k_place``: the place itself, or for the probe every place that is related to its own."""
+    right = right.where(F.col("b")["pl"].isNotNull()).withColumn("k_place", F.col("b")["pl"])
+    left = left.where(F.col("a")["pl"].isNotNull())
+    if branch.place == "same":
+        return left.withColumn("k_place", F.col("a")["pl"]), right
+    return left.withColumn("place", F.col("a")["pl"]).join(related, "place").drop("place"), right
+
+
+def _branch_pairs(
+    probe: DataFrame, build: DataFrame, branch: Branch, dictionary: DataFrame | None, keys: list[str], focused: bool,
+    related: DataFrame | None = None,
+) -> DataFrame:
     left, right = probe, build
+    if branch.place:
+        left, right = _with_places(left, right, branch, related)
+        keys = [*keys, "k_place"]
     if branch.birth:
         left, right = _with_births(left, "a", True), _with_births(right, "b", False)
         keys = [*keys, "k_space", "k_birth"]
@@ -195,6 +212,33 @@ def _dictionary(features: DataFrame, least: float) -> DataFrame:
     return cut_lineage(near.unionByName(texts.select("text", F.col("text").alias("other"), F.lit(1.0).alias("sim"))))
 
 
+def _related_places(features: DataFrame) -> DataFrame:
+    """``(place, k_place)``: every place with the different ones that hold it or that it holds, as texts.
+
+    The inner text is looked up by the rarest of its runs of three letters, or
+    by itself if it is shorter.
+    """
+    places = features.select(F.col("f.pl").alias("t")).where("t is not null").dropDuplicates()
+    places = cut_lineage(places.withColumn("n", F.length("t")))
+    runs = F.flatten(
+        F.transform(
+            F.array(F.lit(1), F.lit(2), F.lit(3)),
+            lambda w: F.transform(
+                F.when(F.col("n") >= w, F.sequence(F.lit(1), F.col("n") - w + 1)).otherwise(F.array().cast("array<int>")),
+                lambda p: F.substr(F.col("t"), p, w),
+            ),
+        )
+    )
+    held = cut_lineage(places.select("t", "n", F.explode(F.array_distinct(runs)).alias("run")))
+    often = held.groupBy("run").agg(F.count(F.lit(1)).alias("times"))
+    own = held.where(F.length("run") == F.least(F.col("n"), F.lit(3))).join(often, "run")
+    rarest = own.groupBy("t").agg(F.min_by("run", F.struct("times", "run")).alias("run"))
+    inner, outer = rarest.select("run", F.col("t").alias("inner")), held.select("run", F.col("t").alias("outer"))
+    found = inner.join(outer, "run").where(F.contains("outer", F.col("inner")) & (F.col("inner") != F.col("outer")))
+    found = cut_lineage(found.select(F.col("inner").alias("place"), F.col("outer").alias("k_place")))
+    return found.unionByName(found.select(F.col("k_place").alias("place"), F.col("place").alias("k_place")))
+
+
 def profile_pairs(features: DataFrame, settings: Settings = DEFAULT, dictionary: DataFrame | None = None, focus: DataFrame | None = None) -> DataFrame:
     """Pairs of profiles whose members are candidates when they share no relative.
 
@@ -212,7 +256,8 @@ def profile_pairs(features: DataFrame, settings: Settings = DEFAULT, dictionary:
     if focus is not None:
         wanted = focus.select("profile").dropDuplicates().withColumnRenamed("profile", "pa")
         probe = probe.join(wanted, "pa", "left_semi")
-    met = [_branch_pairs(probe, build, b, dictionary, [], focus is not None) for b in plan]
+    related = _related_places(features) if any(b.place == "related" for b in plan) else None
+    met = [_branch_pairs(probe, build, b, dictionary, [], focus is not None, related) for b in plan]
     if not met:
         met = [probe.join(build, F.lit(False))]
     swap = F.col("pa") > F.col("pb")

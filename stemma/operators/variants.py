@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.functions.names import name_similarity
+from stemma.functions.names import PHONETIC_SIMILARITY, name_similarity
 from stemma.functions.places import place_canonical, place_tokens, token_jaccard
 from stemma.functions.text import fold, has_text, phonetic_key
+from stemma.operators.blocks import pairs_in_blocks
 from stemma.operators.pair_rules import keep_where
 from stemma.session import cut_lineage
 
@@ -192,8 +195,7 @@ def place_match_join(places: DataFrame, column: str = "name") -> DataFrame:
     """Pairs ``(a, b)`` of different places that match: same canonical or folded form, or similar enough."""
     folded = places.where(has_text(F.col(column))).select(F.col(column).alias("place")).dropDuplicates()
     keyed = folded.withColumn("key", place_canonical(F.col("place")))
-    a, b = keyed.withColumnRenamed("place", "a"), keyed.withColumnRenamed("place", "b")
-    same = a.join(b, "key").where("a < b").select("a", "b")
+    same = pairs_in_blocks(keyed, "key", "place").select("a", "b")
     return same.unionByName(place_similarity_join(places, PLACE_MATCH, column).select("a", "b")).dropDuplicates()
 
 
@@ -202,26 +204,62 @@ def longest_distance(min_similarity: float) -> float:
     return 1.0 - (min_similarity - 0.005)
 
 
-def similar_texts(texts: DataFrame, min_similarity: float, column: str = "text") -> DataFrame:
-    """Ordered pairs ``(a, b)`` of distinct texts whose edit similarity reaches a minimum; every pair both ways.
+def _subsequences(text: Column, length: Column) -> Column:
+    """All subsequences of ``length`` letters: letters are struck out from left to right, or picked where fewer stay."""
+    nowhere = F.array().cast("array<int>")
+    places = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(nowhere)
+
+    def strike(found: Column, _: Column) -> Column:
+        each = lambda x: F.transform(
+            places(x["at"], F.length(x["s"])),
+            lambda p: F.struct(F.concat(F.substr(x["s"], F.lit(1), p - 1), F.substr(x["s"], p + 1)).alias("s"), p.alias("at")),
+        )
+        return F.flatten(F.transform(found, each))
+
+    def pick(found: Column, _: Column) -> Column:
+        each = lambda x: F.transform(
+            places(x["at"], F.length(text)),
+            lambda p: F.struct(F.concat(x["s"], F.substr(text, p, F.lit(1))).alias("s"), (p + 1).alias("at")),
+        )
+        return F.flatten(F.transform(found, each))
+
+    start = lambda s: F.array(F.struct(s.alias("s"), F.lit(1).alias("at")))
+    gone = F.length(text) - length
+    # Either way there are at most as many on the way as in the end.
+    struck = F.aggregate(places(F.lit(1), F.when(gone <= length, gone).otherwise(F.lit(0))), start(text), strike)
+    picked = F.aggregate(places(F.lit(1), F.when(gone > length, length).otherwise(F.lit(0))), start(F.lit("")), pick)
+    return F.array_distinct(F.transform(F.when(gone <= length, struck).otherwise(picked), lambda x: x["s"]))
+
+
+def _by_subsequences(sized: DataFrame, cores: dict[int, int]) -> DataFrame:
+    """Pairs ``(a, b)`` of texts of lengths n <= m that have a subsequence of ``cores[m]`` letters in common."""
+    table = F.create_map(*[F.lit(x) for pair in cores.items() for x in pair])
+    long = sized.where(F.col("n").isin(*cores)).select(
+        F.col("t").alias("b"), F.col("n").alias("m"),
+        F.explode(_subsequences(F.col("t"), F.element_at(table, F.col("n")))).alias("key"),
+    )
+    lengths = F.array(*[F.lit(m) for m in cores])
+    fitting = F.filter(lengths, lambda m: (m >= F.col("n")) & (F.element_at(table, m) <= F.col("n")))
+    short = sized.select("t", "n", F.explode(fitting).alias("m")).select(
+        F.col("t").alias("a"), "n", "m", F.explode(_subsequences(F.col("t"), F.element_at(table, F.col("m")))).alias("key")
+    )
+    return short.join(long, ["m", "key"]).where("n < m or a < b").select("a", "b", F.col("m").alias("nb"))
+
+
+def _by_pieces(sized: DataFrame, share: float, lengths: list[int]) -> DataFrame:
+    """Pairs ``(a, b)`` of texts that have a piece in common, for longer texts of other ``lengths``.
 
-    Lossless segment join: with at most k edits, cutting the shorter text
-    into k+1 pieces leaves one piece that occurs unchanged in the longer one,
-    shifted by no more than the edits allow. Pieces are joined on length of
-    both texts, piece number and piece text, so every key is far narrower
-    than a group of texts of equal length.
+    With at most k edits, cutting the shorter text into k+1 pieces leaves one
+    piece that occurs unchanged in the longer one, shifted by no more than the
+    edits allow.
     """
-    share = longest_distance(min_similarity)
-    if share >= 0.45:
-        raise ValueError("edit similarity below 0.56 leaves no usable piece; choose a higher minimum")
-    vocabulary = texts.where(F.col(column) != "").select(F.col(column).alias("t")).dropDuplicates()
-    sized = vocabulary.select("t", F.length("t").alias("n"))
     edits = lambda n: F.floor(n * share + 1e-9).cast("int")
+    other = lambda c: ~F.col(c).isin(*lengths) if lengths else F.lit(True)
 
     # The longest text that may pair with one of length n.
     reach = F.ceil(F.col("n") / (1.0 - share) + 1e-9).cast("int")
     short = sized.select("t", "n", F.explode(F.sequence(F.col("n"), reach)).alias("m")).where(
-        F.col("m") - F.col("n") <= edits(F.col("m"))
+        (F.col("m") - F.col("n") <= edits(F.col("m"))) & other("m")
     )
     short = short.select("t", "n", "m", edits(F.col("m")).alias("k"))
     short = short.select("t", "n", "m", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
@@ -232,7 +270,7 @@ def similar_texts(texts: DataFrame, min_similarity: float, column: str = "text")
     )
 
     lowest = F.greatest(F.lit(1), F.ceil(F.col("n") * (1.0 - share) - 1e-9).cast("int"))
-    long = sized.select("t", "n", edits(F.col("n")).alias("k"), F.explode(F.sequence(lowest, F.col("n"))).alias("s"))
+    long = sized.where(other("n")).select("t", "n", edits(F.col("n")).alias("k"), F.explode(F.sequence(lowest, F.col("n"))).alias("s"))
     long = long.where(F.col("n") - F.col("s") <= F.col("k"))
     long = long.select("t", "n", "s", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
     start, length = _piece(F.col("s"), F.col("k"), F.col("i"))
@@ -245,9 +283,72 @@ def similar_texts(texts: DataFrame, min_similarity: float, column: str = "text")
         F.col("t").alias("b"), F.col("s").alias("na"), F.col("n").alias("nb"), "i",
         F.substr(F.col("t"), F.col("p"), F.col("len")).alias("piece"),
     ).dropDuplicates()
-
     met = short_keys.join(long_keys, ["na", "nb", "i", "piece"]).where("na < nb or a < b")
-    near = met.where(F.levenshtein("a", "b") <= edits(F.col("nb"))).select("a", "b").distinct()
+    return met.select("a", "b", "nb")
+
+
+#: Subsequences that a text may be filed under; longer texts are cut into pieces.
+MOST_KEYS = 1000
+#: Texts longer than this are never filed under subsequences.
+LONGEST_FILED = 64
+
+
+def filed_lengths(share: float) -> dict[int, int]:
+    """For texts of each length m: how many letters of them stay whatever is edited, where that gives few subsequences.
+
+    Where the edits may be half of a text or more, pieces are of no use; then
+    longer texts are filed under as many letters as keep the keys few.
+    """
+    out = {}
+    for m in range(1, LONGEST_FILED + 1):
+        core = m - int(m * share + 1e-9)
+        if core and math.comb(m, core) <= MOST_KEYS:
+            out[m] = core
+        elif core and share >= LEAST_PIECES:
+            out[m] = max(r for r in range(1, core + 1) if math.comb(m, r) <= MOST_KEYS)
+    return out
+
+
+#: From this share of edits on, a piece of a text may have no letter.
+LEAST_PIECES = 0.45
+
+
+def met_texts(texts: DataFrame, min_similarity: float, column: str = "text") -> DataFrame:
+    """Pairs ``(a, b, nb)`` that are compared: all whose edit similarity reaches the minimum, and others, some repeatedly."""
+    share = longest_distance(min_similarity)
+    if share >= 1.0:
+        raise ValueError("the least edit similarity must be above 0.005")
+    vocabulary = texts.where(F.col(column) != "").select(F.col(column).alias("t")).dropDuplicates()
+    sized = vocabulary.select("t", F.length("t").alias("n"))
+    cores = filed_lengths(share)
+    met = _by_subsequences(sized, cores)
+    if share < LEAST_PIECES:
+        return met.unionByName(_by_pieces(sized, share, list(cores)))
+    return met.unionByName(_by_letters(sized, share))
+
+
+def _by_letters(sized: DataFrame, share: float) -> DataFrame:
+    """Pairs with a text too long to be filed under subsequences that have a letter in common."""
+    lettered = lambda c: F.explode(F.array_distinct(F.split(F.col(c), ""))).alias("key")
+    long = sized.where(F.col("n") > LONGEST_FILED).select(F.col("t").alias("b"), F.col("n").alias("nb"), lettered("t"))
+    least = math.ceil((LONGEST_FILED + 1) * (1 - share) - 1e-9)
+    short = sized.where(F.col("n") >= least).select(F.col("t").alias("a"), F.col("n").alias("na"), lettered("t"))
+    met = short.join(long, "key").where("na <= nb and (na < nb or a < b)")
+    return met.where(F.col("na") >= F.col("nb") * (1 - share) - 1e-9).select("a", "b", "nb")
+
+
+def similar_texts(texts: DataFrame, min_similarity: float, column: str = "text") -> DataFrame:
+    """Ordered pairs ``(a, b)`` of distinct texts whose edit similarity reaches a minimum; every pair both ways.
+
+    If at most k letters of the longer text, of length m, are edited, both
+    texts have a subsequence of m - k letters in common. Every text is filed
+    under its subsequences of that length, apart for each m, so two texts meet
+    only where so many letters agree in order. Where that would be too many
+    keys, pieces of the texts take their place. No pair is lost.
+    """
+    share = longest_distance(min_similarity)
+    edits = F.floor(F.col("nb") * share + 1e-9).cast("int")
+    near = met_texts(texts, min_similarity, column).where(F.levenshtein("a", "b") <= edits).select("a", "b").distinct()
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
@@ -268,16 +369,11 @@ def name_similarity_join(names: DataFrame, min_similarity: float, column: str =
     At or below the phonetic similarity, names of one phonetic key pair up as well.
     """
     folded = names.select(fold(F.col(column)).alias("text")).where("text <> ''").dropDuplicates()
-    pairs = similar_texts(folded, max(min_similarity, 0.56)).where("a < b")
-    keyed = folded.select("text", phonetic_key(F.col("text")).alias("key"))
-    if min_similarity <= 0.55:
-        if min_similarity < 0.55:
-            raise ValueError("minimum name similarity is 0.55")
-        alike = keyed.select(F.col("text").alias("a"), "key").join(
-            keyed.select(F.col("text").alias("b"), "key"), "key"
-        )
-        close = similar_texts(folded, 0.56).where("a < b")
-        pairs = close.unionByName(alike.where("a < b").select("a", "b")).dropDuplicates()
+    pairs = similar_texts(folded, min_similarity).where("a < b")
+    if min_similarity <= PHONETIC_SIMILARITY:
+        keyed = folded.select("text", phonetic_key(F.col("text")).alias("key"))
+        alike = pairs_in_blocks(keyed, "key", "text").select("a", "b")
+        pairs = pairs.unionByName(alike).dropDuplicates()
     similarity = name_similarity(
         F.col("a"), F.col("b"), phonetic_key(F.col("a")), phonetic_key(F.col("b"))
     )

@@ -27,7 +27,7 @@ def sample(spark, seed, n=80):
     kids = {(1, c) for c in rng.sample(range(1, n + 1), n // 3)}
     kids |= {(rng.randrange(2, 31), rng.randrange(1, n + 1)) for _ in range(n)}
     events = [
-        (i, rng.randrange(1, n + 1), rng.choice(["birth", "death"]), None, 1890, rng.choice(["Vic", "Vic, Osona", "Olot"])) for i in range(60)
+        (i, rng.randrange(1, n + 1), rng.choice(["birth", "death"]), None, 1890, rng.choice(["Vic", "Vic, Osona", "Osona", "so", "Olot"])) for i in range(60)
     ]
     families = spark.createDataFrame(families, "family_id long, father_id long, mother_id long")
     children = spark.createDataFrame([(f, c, 1) for f, c in sorted(kids)], "family_id long, child_id long, sibling_order int")
@@ -78,6 +78,7 @@ CASES = [
     (3, Settings(use_place=True)),
     (4, Settings(threshold=0.62, weights=(("name", 0.5), ("death", 0.2)))),
     (5, Settings(custom=(SAME_SEX,))),
+    (6, Settings(use_place=True, threshold=0.5, weights=(("place", 0.4), ("name", 0.6)))),
 ]
 
 
@@ -89,6 +90,15 @@ def test_search_equals_all_pairs(spark, seed, settings):
     assert expected and found == expected
 
 
+def test_places_are_keys_where_names_need_not_agree():
+    plan = [b for b in branches(Settings(use_place=True)) if b.links == 0]
+    assert {b.place for b in plan} == {"same", "related", None}
+    # By years alone no two persons meet: their places or a part of their names are in the key.
+    assert all(b.place or b.by_token for b in plan)
+    least = lambda place: min(b.least for b in plan if b.place == place and b.birth and b.death)
+    assert (least("same"), least(None)) == (0.45, 0.59)
+
+
 def test_focus_equals_filter(spark):
     people, families, children = sample(spark, 7)
     whole = as_set(duplicates.duplicate_candidates(people, families, children))

@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stemma.functions.names import name_similarity
 from stemma.functions.places import STOPWORDS
-from stemma.operators import variants
+from stemma.functions.text import phonetic_key
+from stemma.operators import blocks, variants
 
 
 def distance(a: str, b: str) -> int:
@@ -70,3 +72,39 @@ def test_known_variants(spark):
 def test_is_variant(spark):
     df = spark.createDataFrame([("Lleida", "LLEIDA"), ("", ""), ("a", None)], "a string, b string")
     assert [r[0] for r in df.select(variants.is_variant(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+
+
+def distance_of(a, b):
+    return round(1 - distance(a, b) / max(len(a), len(b)), 2)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5])
+def test_low_similarities_equal_all_pairs_too(spark, least):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randrange(1, 11))) for _ in range(50)}
+    words |= {"".join(rng.choice("ab") for _ in range(n)) for n in (18, 63, 65, 66, 90)}
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    got = {(r.a, r.b) for r in variants.similar_texts(df, least).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and distance_of(a, b) >= least}
+
+
+def test_names_below_the_phonetic_similarity(spark):
+    names = ["Garcia", "Garsia", "Puig", "Puch", "Pere", "Serra", "Sierra", "Gracia", "Anna"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for least in (0.35, 0.55, 0.7):
+        got = {(r.a, r.b): r.similarity for r in variants.name_similarity_join(df, least).collect()}
+        every = df.selectExpr("lower(name) as a").crossJoin(df.selectExpr("lower(name) as b")).where("a < b")
+        scored = every.select("a", "b", name_similarity(F.col("a"), F.col("b"), phonetic_key(F.col("a")), phonetic_key(F.col("b"))).alias("s"))
+        assert got == {(r.a, r.b): r.s for r in scored.collect() if r.s >= least}
+
+
+def test_a_hot_block_is_many_cells(spark):
+    rows = [("hot", i) for i in range(400)] + [("b", i) for i in range(3)] + [("c", 1), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "key string, item long")
+    got = {tuple(r) for r in blocks.pairs_in_blocks(df, "key", "item", part=30).collect()}
+    assert got == {(k, i, j) for k, n in (("hot", 400), ("b", 3)) for i in range(n) for j in range(i + 1, n)}
+    left = df.withColumnRenamed("item", "x")
+    right = spark.createDataFrame([("hot", i) for i in range(50)] + [("c", 7), (None, 3)], "key string, y long")
+    plain = sorted(tuple(r) for r in left.join(right, "key").collect())
+    for cell in (1000, 1 << 20):
+        assert sorted(tuple(r) for r in blocks.split_join(left, right, ["key"], cell).collect()) == plain
