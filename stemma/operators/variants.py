@@ -11,6 +11,7 @@ from stemma.functions.names import PHONETIC_SIMILARITY, name_similarity
 from stemma.functions.places import place_canonical, place_tokens, token_jaccard
 from stemma.functions.text import fold, has_text, phonetic_key
 from stemma.operators.blocks import pairs_in_blocks
+from stemma.operators.keys import dense_ids
 from stemma.operators.pair_rules import keep_where
 from stemma.session import cut_lineage
 
@@ -122,36 +123,44 @@ def place_forms(df: DataFrame, column: str = "name") -> DataFrame:
     )
 
 
-def _rarest_first(sets: DataFrame) -> DataFrame:
-    """Token sets with their tokens ordered by how many sets hold them, rarest first."""
-    exploded = sets.select("tokens", F.explode("tokens").alias("token"))
-    frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(frequency, "token")
-    return ranked.groupBy("tokens").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda t: t["token"]).alias("ordered")
-    )
+def _numbered_sets(places: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``(place, set_id)`` of places with tokens, and ``(set_id, n, tokens)`` of their distinct token sets.
+
+    Tokens are numbered from the rarest on, and a set lists its numbers in
+    that order, so that from here on only numbers are joined and compared.
+    """
+    forms = cut_lineage(place_forms(places, column).where(F.size("tokens") > 0).drop("folded"))
+    sets = cut_lineage(forms.select("tokens").dropDuplicates().withColumn("set_id", F.monotonically_increasing_id()))
+    held = sets.select("set_id", F.explode("tokens").alias("token"))
+    often = held.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    numbers = dense_ids(often, "number", F.col("times"), F.col("token")).select("token", "number")
+    ordered = held.join(numbers, "token").groupBy("set_id").agg(F.array_sort(F.collect_list("number")).alias("tokens"))
+    named = forms.join(sets, "tokens").select("place", "set_id")
+    return cut_lineage(named), cut_lineage(ordered.select("set_id", F.size("tokens").alias("n"), "tokens"))
 
 
 def similar_token_sets(sets: DataFrame, min_similarity: float) -> DataFrame:
-    """Pairs of different token sets whose rounded Jaccard index reaches the minimum.
+    """Pairs ``(a, b, similarity)`` of different sets whose rounded Jaccard index reaches the minimum, a < b.
 
+    ``sets`` holds ``(set_id, n, tokens)``, tokens numbered from the rarest on.
     Prefix filter: two sets of that similarity share a token among the first
-    ``n - ceil(t*n) + 1`` of each when tokens are ordered rarest first. A word
-    most places contain is therefore joined on only where nothing rarer is
-    left, and no pair is lost.
+    ``n - ceil(t*n) + 1`` of each. A word most places contain is therefore
+    joined on only where nothing rarer is left. Positional filter: after the
+    first token in common, no more can follow than either set has left, so
+    most pairs go before any sets are compared. No pair is lost.
     """
     bound = min_similarity - 0.005
     if bound <= 0:
         raise ValueError("min_similarity must be at least 0.01")
-    ordered = cut_lineage(_rarest_first(sets))
-    n = F.size("ordered")
-    prefix = n - F.ceil(n * bound - 1e-9).cast("int") + 1
-    keys = ordered.select("tokens", n.alias("n"), F.explode(F.slice("ordered", F.lit(1), prefix)).alias("key"))
-    a = keys.select(F.col("tokens").alias("a"), F.col("n").alias("na"), "key")
-    b = keys.select(F.col("tokens").alias("b"), F.col("n").alias("nb"), "key")
+    prefix = F.col("n") - F.ceil(F.col("n") * bound - 1e-9).cast("int") + 1
+    keys = sets.select("set_id", "n", "tokens", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "key"))
+    a = keys.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("at").alias("pa"), "key")
+    b = keys.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("at").alias("pb"), "key")
     close = (F.least("na", "nb") >= F.greatest("na", "nb") * bound - 1e-9) & (F.col("a") < F.col("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = a.join(b, "key").where(close).select(
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = most >= (F.col("na") + F.col("nb")) * (bound / (1 + bound)) - 1e-9
+    shared = F.size(F.array_intersect("ta", "tb"))
+    scored = a.join(b, "key").where(close & enough).select(
         "a", "b", token_jaccard(shared, F.col("na"), F.col("nb")).alias("similarity")
     )
     # Scored where they meet, so only pairs that stay are shuffled.
@@ -165,15 +174,15 @@ def place_similarity_join(places: DataFrame, min_similarity: float = PLACE_MATCH
     Places are compared by distinct token set and only the result is spread
     over the spellings again.
     """
-    forms = cut_lineage(place_forms(places, column).where(F.size("tokens") > 0))
-    sets = forms.select("tokens").dropDuplicates()
+    forms, sets = _numbered_sets(places, column)
     close = similar_token_sets(sets, min_similarity)
-    same = sets.select(F.col("tokens").alias("a"), F.col("tokens").alias("b"), F.lit(1.0).alias("similarity"))
-    both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(same)
-    left = forms.select(F.col("tokens").alias("a"), F.col("place").alias("place_a"))
-    right = forms.select(F.col("tokens").alias("b"), F.col("place").alias("place_b"))
-    spread = both.join(left, "a").join(right, "b").where("place_a < place_b")
-    return spread.select(F.col("place_a").alias("a"), F.col("place_b").alias("b"), "similarity")
+    same = sets.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("similarity"))
+    left = forms.select(F.col("set_id").alias("a"), F.col("place").alias("place_a"))
+    right = forms.select(F.col("set_id").alias("b"), F.col("place").alias("place_b"))
+    spread = close.unionByName(same).join(left, "a").join(right, "b")
+    # Sets of different numbers come once, so their places stand in either order.
+    kept = spread.where("(a <> b and place_a <> place_b) or place_a < place_b")
+    return kept.select(F.least("place_a", "place_b").alias("a"), F.greatest("place_a", "place_b").alias("b"), "similarity")
 
 
 def place_containment_join(places: DataFrame, column: str = "name") -> DataFrame:
@@ -181,13 +190,12 @@ def place_containment_join(places: DataFrame, column: str = "name") -> DataFrame
 
     The inner place is looked up by its rarest token only.
     """
-    forms = cut_lineage(place_forms(places, column).where(F.size("tokens") > 0))
-    sets = forms.select("tokens").dropDuplicates()
-    inner = _rarest_first(sets).select(F.col("tokens").alias("b"), F.element_at("ordered", 1).alias("key"))
-    outer = sets.select(F.col("tokens").alias("a"), F.explode("tokens").alias("key"))
-    held = outer.join(inner, "key").where(F.size(F.array_except("b", "a")) == 0).select("a", "b")
-    left = forms.select(F.col("tokens").alias("a"), F.col("place").alias("outer"))
-    right = forms.select(F.col("tokens").alias("b"), F.col("place").alias("inner"))
+    forms, sets = _numbered_sets(places, column)
+    inner = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"), F.element_at("tokens", 1).alias("key"))
+    outer = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.explode("tokens").alias("key"))
+    held = outer.join(inner, "key").where(F.size(F.array_except("tb", "ta")) == 0).select("a", "b")
+    left = forms.select(F.col("set_id").alias("a"), F.col("place").alias("outer"))
+    right = forms.select(F.col("set_id").alias("b"), F.col("place").alias("inner"))
     return held.join(left, "a").join(right, "b").where("outer <> inner").select("outer", "inner")
 
 
