@@ -732,9 +732,15 @@ UNION ALL SELECT 'conflict', {_NATION}, detail FROM nation_refused
 UNION ALL SELECT 'document', {_NATION}, CASE WHEN n IN (SELECT n FROM nation_refused) THEN 'false|1' ELSE 'true|0' END FROM (SELECT DISTINCT n FROM nation_people)
 UNION ALL SELECT 'audit', name, size || '|' || size || '|' || size FROM (
   SELECT 'persons' AS name, (SELECT count(*) FROM nation_kept) + (SELECT count(*) FROM nation_heads) AS size
-  UNION ALL SELECT 'families', 2 * count(*) FROM nation_heads UNION ALL SELECT 'events', count(birth_date) FROM nation_kept
+  UNION ALL SELECT 'families', 2 * count(*) FROM nation_heads UNION ALL SELECT 'events', (SELECT count(birth_date) FROM nation_kept) + (SELECT 2 * count(*) FROM nation_heads)
   UNION ALL SELECT 'sources', count(*) FROM nation_heads UNION ALL SELECT 'media', count(*) FROM nation_heads)""",
 )
+oracle(
+    "family_detail_of_stored", "nation_heads",
+    """SELECT 'F1N' || n AS xref, 'I' || own AS father_xref, CASE WHEN own = least THEN 'I' || least END AS mother_xref, 'I' || own AS children,
+  'marriage:1 JAN ' || 1810 + n || ':Vic|divorce:' || 1850 + n || ':' AS events FROM nation_heads
+UNION ALL SELECT 'G' || n - (CASE WHEN n % 5 = 2 THEN 1 ELSE 0 END), NULL, NULL, '', '' FROM nation_heads""",
+)
 oracle(
     "dashboard_of_stored", "nation_heads",
     """SELECT (SELECT count(*) FROM nation_kept) + (SELECT count(*) FROM nation_heads) AS persons, (SELECT 2 * count(*) FROM nation_heads) AS families,

@@ -1229,6 +1229,19 @@ def _(ds: Dataset) -> DataFrame:
     return _kid_names(ds, True)
 
 
+@query("family_detail_of_stored")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Couple, children and events of every family of the stored documents."""
+    ds = imports.dataset_from_tables(spark, _imported_nations(spark, sf_dir))
+    rows = relations.family_details(ds.families, ds.enriched, ds.parent_children, ds.events)
+    told = F.transform("events", lambda e: F.concat_ws(":", e["event_type"], F.coalesce(e["date_text"], F.lit("")), F.coalesce(e["place"], F.lit(""))))
+    kids = F.transform("children", lambda c: c["child_xref"])
+    return rows.select(
+        "xref", "father_xref", "mother_xref", F.coalesce(_joined(kids), F.lit("")).alias("children"),
+        F.coalesce(_joined(told), F.lit("")).alias("events"),
+    )
+
+
 @on_dataset("place_list")
 def _(ds: Dataset) -> DataFrame:
     return search.list_places(ds.places, q="Nation_1", limit=100, offset=2).select("name")

@@ -121,7 +121,8 @@ def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'0 HEAD'",
         "concat('0 @T', n - if(n % 5 = 1, 1, 0), '@ INDI\n1 NAME Teller ', n)",
         "concat('0 @G', n - if(n % 5 = 2, 1, 0), '@ FAM')",
-        "concat('0 @F1N', n, '@ FAM\n1 HUSB @I', own, '@\n1 WIFE @I', least, '@\n1 CHIL @I', least, '@\n1 CHIL @I', own, '@')",
+        "concat('0 @F1N', n, '@ FAM\n1 HUSB @I', own, '@\n1 WIFE @I', least, '@\n1 CHIL @I', least, '@\n1 CHIL @I', own, '@"
+        "\n1 DIV\n2 DATE ', 1850 + n, '\n1 MARR\n2 DATE 1 JAN ', 1810 + n, '\n2 PLAC Vic')",
         "concat('0 @S1@ SOUR\n1 TITL Register ', n)",
         "concat('0 @O1@ OBJE\n1 FILE ', n, '.jpg')",
     ]
