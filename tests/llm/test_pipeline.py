@@ -75,3 +75,40 @@ def test_duplicates_and_packing_match_plain_versions(stages):
     for r in stages[5].collect():
         tokens[r.doc_id] += r.length
     assert tokens == Counter({i: len(encoder.encode(t)) // 4 + 1 for i, t in near})
+
+
+CLASHING = "good int, score string, key int, sha int, row int, piece int, fp int, _id int, part int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids, null, empty and very long texts, equal rows, and columns named as the operators name theirs."""
+    texts = [r.text for r in table(spark, SF_DIR, "documents").orderBy("doc_id").limit(60).collect()]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    rows += [(None, texts[3], "en", "web", 1), (None, None, None, None, None), (7, texts[7], "en", "web", 2), rows[9], rows[9]]
+    rows += [(900, "", "en", "web", 0), (901, None, "en", None, 0), (902, "river and mountain " * 30_000, "en", "web", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return cut_lineage(spark.createDataFrame([(*r, *[1] * 9) for r in rows], f"{schema}, {CLASHING}"))
+
+
+def test_stages_take_odd_rows(spark, odd):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = cut_lineage(stage(spark, docs, SF_DIR))
+        assert after.columns == odd.columns, name
+        before, left = (Counter(map(repr, x.collect())) for x in (docs, after))
+        assert not left - before, name
+        if name == "exact_dedup":
+            plain = {re.sub("[\x20\x09-\x0d]", "", r.text or "") for r in docs.collect()}
+            assert sum(left.values()) == len(plain)
+        docs = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).collect()
+    encoder = WordEncoder(public_tokenizers.path(VOCABULARY))
+    assert sum(r.length for r in packed) == sum(len(encoder.encode(r.text or "")) // 4 + 1 for r in docs.collect())
+    assert docs.where("doc_id = 902").count() == 1
+
+
+def test_stages_take_an_empty_table(spark, odd):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), SF_DIR).collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), SF_DIR).collect() == []
