@@ -39,7 +39,7 @@ THRESHOLD = 0.93
 #: Vectors that centroids and code words are fitted on, and the most centroids.
 SAMPLE = 16_384
 CENTROIDS = 1024
-#: Vectors that a list should hold, for so long as the centroids suffice.
+#: Members that a list of the largest label should have, for so long as the centroids suffice.
 LIST = 256
 SUBSPACES, WORDS = 8, 256
 ROUNDS = 8
@@ -209,14 +209,16 @@ def near_duplicate_vectors(
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"),
     )
     points = cut_lineage(points.withColumn("point", F.monotonically_increasing_id()))
-    count = points.count()
+    # Lists belong to one label, so the largest label says how many centroids keep them small.
+    count, largest = points.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
+    count, largest = count or 0, largest or 0
     kind = np.dtype("<f4" if isinstance(points.schema["vector"].dataType.elementType, FloatType) else "<f8")
 
     share = min(1.0, sample / max(count, 1))
     taken = points if share == 1 else points.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
     grown = taken.orderBy("key").select("vector").toArrow().column("vector").combine_chunks()
     grown = units(grown.flatten().to_numpy().reshape(-1, dim)) if len(grown) else np.zeros((0, dim))
-    quantiser = Quantiser(grown, min(CENTROIDS, math.ceil(count / list_size)), threshold, spread)
+    quantiser = Quantiser(grown, min(CENTROIDS, math.ceil(largest / list_size)), threshold, spread)
     shared = spark.sparkContext.broadcast(quantiser)  # at most CENTROIDS centroids, their distances, and WORDS words
 
     entry = "label string, cell int, guest boolean, point long, copies long, vector binary, code binary, left double, others binary"
@@ -255,7 +257,8 @@ def near_duplicate_vectors(
                     names,
                 )
 
-    lists = cut_lineage(points.select("label", "vector", "point", "copies").mapInArrow(enter, entry))
+    # Entered twice, for the ranges and for the packs, as an entry costs less than its place on disk.
+    lists = points.select("label", "vector", "point", "copies").mapInArrow(enter, entry)
     # Ranges over (list, point): a hot list is dealt to as many tasks as its rows are worth.
     dealt = lists.repartitionByRange("label", "cell", "point").sortWithinPartitions("label", "cell", "guest", "point")
     pack_of = (
