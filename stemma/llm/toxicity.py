@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,12 +28,14 @@ from stemma.llm.tables import text_or_empty, whole_row
 from stemma.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters with digits or signs inside, as in "w0rd" or "w*rd".
-MASKED = re.compile(r"[^\W\d_]+[0-9@$*#!|.\-]+[^\W\d_]+[\w@$*]*")
+#: Letters with digits or signs inside, as in "w0rd" or "w*rd"; only sought from where a run of letters begins.
+MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$*#!|.\-]+[^\W\d_]+[\w@$*]*")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 SHOUTED = re.compile(r"\b[^\W\d_a-zà-ÿ]{3,}\b")
 PUNCTUATION = re.compile(r"[!?]")
 SIGN = re.compile(r"[^\w\s]")
+ASCII_CAPITALS = string.ascii_uppercase.encode()
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 #: Second persons in the languages of the corpus.
 SECOND_PERSON = frozenset(
@@ -55,6 +58,13 @@ FEATURES = (
 )
 
 
+def capitals_in(text: str) -> int:
+    """How many characters are upper case, as ``str.isupper`` has it; those of ASCII are counted as bytes."""
+    plain = text.encode("ascii", "ignore")
+    found = len(plain) - len(plain.translate(None, ASCII_CAPITALS))
+    return found if len(plain) == len(text) else found + sum(map(str.isupper, BEYOND_ASCII.findall(text)))
+
+
 def terms(words: set[str]) -> set[str]:
     """The words and, marked by a leading dot, their beginnings."""
     out = set(words)
@@ -119,7 +129,7 @@ def features(text: str, weights: _Weights) -> list[float]:
     n, chars = max(len(words), 1), max(len(text), 1)
     each = np.fromiter(map(weights.__getitem__, words), float, len(words))
     hits = np.nonzero(each >= STRONG)[0]
-    person = np.fromiter((w in SECOND_PERSON for w in words), bool, len(words))
+    person = np.fromiter(map(SECOND_PERSON.__contains__, words), bool, len(words))
     near = 0
     if len(hits) and person.any():
         at = np.nonzero(person)[0]
@@ -128,7 +138,7 @@ def features(text: str, weights: _Weights) -> list[float]:
         near = int((gap <= NEAR).sum())
     masked = MASKED.findall(lower)
     unmasked = [w for m in masked for w in (re.sub(r"[^\w]|[\d_]", "", m.translate(UNMASK)), m.replace("*", "").replace(".", ""))]
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
+    capitals = capitals_in(text)
     return [
         float(each.max(initial=0.0)),
         *(math.log1p(int((each >= tier).sum())) for tier in TIERS),

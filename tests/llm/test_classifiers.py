@@ -165,3 +165,17 @@ def test_sites_count_all_labels_beyond_the_sample_of_the_fit(spark):
     assert good["bad"] == pytest.approx(sum(p[i] for i in held if i % 2))
     assert good["fine"] == pytest.approx(300 - sum(1 - p[i] for i in held if not i % 2))
     assert {(r.source, r.good) for r in scored} == {("bad", False), ("fine", True)}
+
+
+def test_capitals_and_masked_words_take_no_step_per_character():
+    import random
+    import re
+
+    from stemma.llm import toxicity
+
+    slow = re.compile(r"[^\W\d_]+[0-9@$*#!|.\-]+[^\W\d_]+[\w@$*]*")
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choice("aAbéÉßΩ1_.*@- \n$x9|") for _ in range(rng.randrange(16)))
+        assert toxicity.capitals_in(text) == sum(map(str.isupper, text))
+        assert toxicity.MASKED.findall(text) == slow.findall(text)
