@@ -78,6 +78,24 @@ class Dataset:
         return statistics.one_row(*parts)
 
 
+class _Derived(Dataset):
+    """Places and events of a data folder are made when a job first asks for them; many jobs read neither."""
+
+    def __init__(self, life: DataFrame, **tables: DataFrame | None):
+        self.life = life
+        self.__dict__.update(tables)
+
+    # Written once: the size of the places is then known, so they are broadcast if they are few, else the join can
+    # be split at a frequent place; and some twenty jobs read the events.
+    @cached_property
+    def places(self) -> DataFrame:
+        return cut_lineage(resolve.place_dimension(self.life.select("place", F.col("event_id").alias("seq"))))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return cut_lineage(resolve.event_rows(self.life.withColumn("family_id", F.lit(None).cast("bigint")), self.places))
+
+
 def from_fixtures(spark: SparkSession, sf_dir: str) -> Dataset:
     """Conformed tables over the derived genealogy of a data folder."""
     persons = fixtures.persons(spark, sf_dir)
@@ -85,11 +103,6 @@ def from_fixtures(spark: SparkSession, sf_dir: str) -> Dataset:
         "*", F.lit(None).cast("string").alias("marriage_date"), F.lit(None).cast("string").alias("marriage_place")
     )
     children = resolve.parent_child_rows(fixtures.family_child_records(spark, sf_dir), persons, families)
-    life = fixtures.life_events(spark, sf_dir)
-    # Written once: the size of the places is then known, so they are broadcast if they are few, else the join can
-    # be split at a frequent place; and some twenty jobs read the events.
-    places = cut_lineage(resolve.place_dimension(life.select("place", F.col("event_id").alias("seq"))))
-    events = cut_lineage(resolve.event_rows(life.withColumn("family_id", F.lit(None).cast("bigint")), places))
     mapping = resolve.source_map(fixtures.source_records(spark, sf_dir))
     bridge = resolve.link_rows(
         fixtures.person_links(spark, sf_dir),
@@ -97,7 +110,7 @@ def from_fixtures(spark: SparkSession, sf_dir: str) -> Dataset:
         mapping.select(F.col("xref").alias("target"), F.col("source_xref").alias("target_id")),
         "SOUR",
     ).select(F.col("owner_id").alias("person_id"), F.col("target_id").alias("source_xref"))
-    return Dataset(
-        persons, families, children, events, places, resolve.source_rows(mapping), bridge,
-        resolve.media_rows(fixtures.media_records(spark, sf_dir)),
+    return _Derived(
+        fixtures.life_events(spark, sf_dir), persons=persons, families=families, parent_children=children,
+        sources=resolve.source_rows(mapping), person_sources=bridge, media=resolve.media_rows(fixtures.media_records(spark, sf_dir)),
     )

@@ -153,3 +153,25 @@ def test_ancestors_with_cycle_and_collapse(spark):
     assert {r.root_id: r.n for r in ancestors.tree_nodes(found, edges, 6).groupBy("root_id").agg(F.count("*").alias("n")).collect()} == {5: 6}
     with pytest.raises(ValueError):
         ancestors.ancestors(roots, edges, 7)
+
+
+def test_events_of_a_folder_are_made_on_demand(spark, monkeypatch):
+    from stemma.plans import dataset, fixtures
+
+    rows = {
+        "customer": ([(1, 0), (2, 0), (3, 0)], "c_custkey long, c_nationkey int"),
+        "nation": ([(0, "ALBA")], "n_nationkey int, n_name string"),
+        "part": ([(k, "blue bolt", "Brand#1") for k in (1, 2, 3)], "p_partkey long, p_name string, p_brand string"),
+        "supplier": ([(1, 0, "Sup")], "s_suppkey long, s_nationkey int, s_name string"),
+        "orders": ([(5, 2, "1995-03-07", "1-URGENT")], "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string"),
+    }
+    tables = {name: spark.createDataFrame(data, ddl) for name, (data, ddl) in rows.items()}
+    tables["orders"] = tables["orders"].selectExpr("* except (o_orderdate)", "cast(o_orderdate as date) as o_orderdate")
+    written = []
+    cut = dataset.cut_lineage
+    monkeypatch.setattr(fixtures, "table", lambda spark, folder, name: tables[name])
+    monkeypatch.setattr(dataset, "cut_lineage", lambda df: written.append(df) or cut(df))
+    ds = dataset.from_fixtures(spark, "nowhere")
+    assert ds.persons.count() == 3 and ds.families.count() == 2 and not written
+    assert [(e.person_id, e.date_year, e.place) for e in ds.events.collect()] == [(3, 1995, "alba")]
+    assert ds.events.count() == 1 and ds.places.count() == 1 and len(written) == 2
