@@ -120,6 +120,14 @@ def test_plan_has_no_product_and_no_python(spark):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "Python" not in plan
 
 
+def test_pairs_of_profiles_are_numbers_only(spark):
+    people, _, _ = sample(spark, 9)
+    features = duplicates._numbered(person_features(people, Settings()))
+    found = dict(duplicates.profile_pairs(features).dtypes)
+    assert {"pa", "pb", "score", "score_ba"} <= set(found)
+    assert set(found.values()) <= {"bigint", "int", "double"}
+
+
 def pair(spark, a, b, settings=Settings()):
     """Scores of one pair of bare persons."""
     rows = [(1, "I1", *a), (2, "I2", *b)]
