@@ -128,6 +128,17 @@ def test_pairs_of_profiles_are_numbers_only(spark):
     assert set(found.values()) <= {"bigint", "int", "double"}
 
 
+def test_profiles_meet_once_before_they_are_scored(spark, monkeypatch):
+    people, _, _ = sample(spark, 9)
+    features = duplicates._numbered(person_features(people, Settings()))
+    scored, score = [], duplicates.with_evidence
+    monkeypatch.setattr(duplicates, "with_evidence", lambda pairs, *rest, **more: scored.append(pairs) or score(pairs, *rest, **more))
+    found = duplicates.profile_pairs(features).select("pa", "pb").collect()
+    assert found and len(set(found)) == len(found)
+    met = scored[0].select("pa", "pb", F.col("by_surname").isNotNull().alias("by_surname")).collect()
+    assert len(set(met)) == len(met)
+
+
 def pair(spark, a, b, settings=Settings()):
     """Scores of one pair of bare persons."""
     rows = [(1, "I1", *a), (2, "I2", *b)]
