@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stemma.operators import duplicates, enrich
 from stemma.operators.blocking import branches
 from stemma.operators.pair_rules import CustomRule, Settings, person_features, with_scores
+from stemma.session import cut_lineage
 
 GIVEN = ["Joan", "Joana", "Maria", "María", "Josep", "Pere", "", None, "Anna Maria"]
 SURNAME = ["Garcia", "García", "Garsia", "Puig", "Carbonell", "Carbonel", None]
@@ -130,7 +131,7 @@ def test_pairs_of_profiles_are_numbers_only(spark):
 
 def test_profiles_meet_once_before_they_are_scored(spark, monkeypatch):
     people, _, _ = sample(spark, 9)
-    features = duplicates._numbered(person_features(people, Settings()))
+    features = cut_lineage(duplicates._numbered(cut_lineage(person_features(people, Settings()))))
     scored, score = [], duplicates.with_evidence
     monkeypatch.setattr(duplicates, "with_evidence", lambda pairs, *rest, **more: scored.append(pairs) or score(pairs, *rest, **more))
     found = duplicates.profile_pairs(features).select("pa", "pb").collect()
