@@ -98,9 +98,7 @@ def _(parsed: DataFrame) -> DataFrame:
 
 @on_files("gedcom_tree")
 def _(parsed: DataFrame) -> DataFrame:
-    lines = gedcom.line_table(parsed)
-    parents = lines.select("path", F.col("line_no").alias("parent_line"), F.col("tag").alias("parent_tag"))
-    return lines.join(parents, ["path", "parent_line"], "left").groupBy("parent_tag", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return gedcom.line_table(parsed).groupBy("parent_tag", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("gedcom_rejected_lines")

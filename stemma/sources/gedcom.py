@@ -194,13 +194,25 @@ def _line_offsets(parsed: DataFrame) -> DataFrame:
 
 
 def line_table(parsed: DataFrame) -> DataFrame:
-    """``(path, line_no, level, xref, tag, value, parent_line)``, numbered as in the file."""
+    """``(path, line_no, level, xref, tag, value, parent_line, parent_tag)``, numbered as in the file.
+
+    A parent is in the same record, so it is looked up there and no line
+    carries the others of its record along.
+    """
     numbered = parsed.select("path", "block", "rec", "lines").join(_line_offsets(parsed), ["path", "block", "rec"])
-    rows = numbered.select("path", "offset", "lines", F.explode("lines").alias("x"))
-    number = F.col("offset") + F.col("x.line") + 1
-    parent = F.when(F.col("x.parent") >= 0, F.col("offset") + F.col("lines")[F.col("x.parent")]["line"] + 1)
+
+    def with_parent(x: Column) -> Column:
+        parent = F.when(x["parent"] >= 0, F.get("lines", x["parent"]))
+        return F.struct(
+            x["line"].alias("line"), x["level"].alias("level"), x["xref"].alias("xref"), x["tag"].alias("tag"),
+            x["value"].alias("value"), parent["line"].alias("above"), parent["tag"].alias("parent_tag"),
+        )
+
+    rows = numbered.select("path", "offset", F.explode(F.transform("lines", with_parent)).alias("x"))
+    number = lambda line: F.col("offset") + F.col(line) + 1
     return rows.select(
-        "path", number.alias("line_no"), "x.level", "x.xref", "x.tag", "x.value", parent.alias("parent_line")
+        "path", number("x.line").alias("line_no"), "x.level", "x.xref", "x.tag", "x.value",
+        number("x.above").alias("parent_line"), "x.parent_tag",
     )
 
 

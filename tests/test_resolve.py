@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from stemma.operators import resolve
+from stemma.sources import gedcom
 
 EVENT = "event_id long, person_id long, family_id long, event_type string, date_text string, place string"
 
@@ -39,3 +40,14 @@ def test_dates_and_places_are_read_once_per_text(spark):
         (5, 3, None, "birth", "ABT 1900", "1900-01-01", 1900, "olot", "Olot"),
     ]
     assert "regexp" not in optimized(found)
+
+
+def test_lines_know_the_tag_above_and_carry_no_other_lines(spark):
+    text = "0 HEAD\n1 CHAR UTF-8\n0 @I1@ INDI\n1 NAME A\n2 GIVN B\n1 BIRT\n2 DATE 1890"
+    whole = spark.createDataFrame([("a", text)], "path string, text string")
+    lines = gedcom.line_table(gedcom.parse_records(gedcom.records_from_text(whole)))
+    above = [(r.tag, r.parent_line, r.parent_tag) for r in lines.orderBy("line_no").collect()]
+    assert above == [
+        ("HEAD", None, None), ("CHAR", 1, "HEAD"), ("INDI", None, None), ("NAME", 3, "INDI"), ("GIVN", 4, "NAME"),
+        ("BIRT", 3, "INDI"), ("DATE", 6, "BIRT"),
+    ]
