@@ -140,6 +140,27 @@ def test_profiles_meet_once_before_they_are_scored(spark, monkeypatch):
     assert len(set(met)) == len(met)
 
 
+def test_pair_search_runs_on_all_partitions(spark, monkeypatch):
+    people, families, children = sample(spark, 5)
+
+    class Found(Exception):
+        pass
+
+    def write(df):
+        written = cut_lineage(df)
+        if {"pa", "pb"} <= set(df.columns):
+            raise Found(len(written.inputFiles()))
+        return written
+
+    monkeypatch.setattr(duplicates, "cut_lineage", write)
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    with pytest.raises(Found) as found:
+        duplicates.duplicate_candidates(people, families, children)
+    # Few rows would be merged into one task per branch.
+    assert found.value.args[0] >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == merged
+
+
 def pair(spark, a, b, settings=Settings()):
     """Scores of one pair of bare persons."""
     rows = [(1, "I1", *a), (2, "I2", *b)]
