@@ -161,6 +161,60 @@ def test_pair_search_runs_on_all_partitions(spark, monkeypatch):
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == merged
 
 
+def test_profiles_in_focus_meet_once(spark, monkeypatch):
+    people, _, _ = sample(spark, 9)
+    features = cut_lineage(duplicates._numbered(cut_lineage(person_features(people, Settings()))))
+    scored, score = [], duplicates.with_evidence
+    monkeypatch.setattr(duplicates, "with_evidence", lambda pairs, *rest, **more: scored.append(pairs) or score(pairs, *rest, **more))
+    some = features.where("person_id % 2 = 0")
+    for focus in (features, some):
+        duplicates.profile_pairs(features, focus=focus)
+        met = scored[-1].select(F.least("pa", "pb"), F.greatest("pa", "pb"), F.col("by_surname").isNotNull()).collect()
+        assert met and len(set(met)) == len(met)
+
+
+def test_pairs_are_written_with_their_members(spark, monkeypatch):
+    people, families, children = sample(spark, 5)
+
+    class Found(Exception):
+        pass
+
+    def write(df):
+        if {"pa", "pb"} <= set(df.columns):
+            raise Found(df.columns)
+        return cut_lineage(df)
+
+    monkeypatch.setattr(duplicates, "cut_lineage", write)
+    with pytest.raises(Found) as found:
+        duplicates.duplicate_candidates(people, families, children)
+    assert {"members_a", "members_b"} <= set(found.value.args[0])
+
+
+def test_a_crowd_travels_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "CROWD", 4)
+    rows = [(i, f"I{i}", "Joan", 1, ("joan",)) for i in range(1, 31)] + [(31, "I31", "Joana", 1, ("joan",))] * 2
+    crowds = duplicates._crowds(spark.createDataFrame(rows, "person_id long, xref string, name string, profile long, f struct<gf: string>"))
+    sizes = [len(r.members) for r in crowds.collect()]
+    assert len(sizes) > 4 and sum(sizes) == 31
+    side = lambda x: crowds.select(F.col("profile").alias(f"p{x}"), F.col("members").alias(f"members_{x}"))
+    numbers = {"score": 0.6, "score_ba": 0.6, "_parents": 0, "_marriage": 0, "_children": 0}
+    pairs = cut_lineage(side("a").crossJoin(side("b")).withColumns({c: F.lit(v) for c, v in numbers.items()}))
+    spread = duplicates._spread(pairs, Settings())
+    # Neither profiles nor persons are looked up for a pair.
+    assert "Join" not in spread._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.i, r.j): r.n for r in spread.groupBy(F.col("m1.person_id").alias("i"), F.col("m2.person_id").alias("j")).agg(F.count("*").alias("n")).collect()}
+    assert found == {(i, j): 1 + (j == 31) for i in range(1, 32) for j in range(i + 1, 32)}
+
+
+def test_need_grows_where_a_person_has_no_relatives():
+    settings = Settings()
+    for branch in (b for b in branches(settings) if b.links == 0):
+        needs = duplicates._all_needs(branch, settings)
+        every = ("parents", "marriage", "children")
+        assert {far: needs[(*far, ())] for far in branch.needs} == branch.needs
+        assert all(needs.get((*far, every), 2.0) > value for far, value in branch.needs.items())
+
+
 def pair(spark, a, b, settings=Settings()):
     """Scores of one pair of bare persons."""
     rows = [(1, "I1", *a), (2, "I2", *b)]
