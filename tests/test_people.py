@@ -175,3 +175,14 @@ def test_events_of_a_folder_are_made_on_demand(spark, monkeypatch):
     assert ds.persons.count() == 3 and ds.families.count() == 2 and not written
     assert [(e.person_id, e.date_year, e.place) for e in ds.events.collect()] == [(3, 1995, "alba")]
     assert ds.events.count() == 1 and ds.places.count() == 1 and len(written) == 2
+
+
+def test_pairs_of_a_data_set_are_not_written_again(ds, monkeypatch):
+    from stemma.plans import dataset
+
+    found = ds.persons.select("person_id", F.array(F.lit("noms similars")).alias("reasons"))
+    again = dataset.Dataset(ds.persons, ds.families, ds.parent_children, ds.events, ds.places)
+    again.__dict__["enriched"] = ds.persons
+    monkeypatch.setattr(dataset, "duplicate_candidates", lambda *tables: found)
+    monkeypatch.setattr(dataset, "cut_lineage", lambda df: pytest.fail("written"))
+    assert again.candidates is found
